@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, token_files, url_filters
+from . import pieces, quality_rules, token_files, url_filters
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_pieces": pieces.op6_pieces,
     "op7_token_files": token_files.op7_token_files,
     "op10_url_filters": url_filters.op10_url_filters,
 }
