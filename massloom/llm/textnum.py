@@ -144,7 +144,7 @@ class UnitCache:
     after another, and how many each has.
     """
 
-    def __init__(self, encode, most: int = 500_000, fine: bool = False):
+    def __init__(self, encode, most: int = 1_000_000, fine: bool = False):
         self.encode, self.most, self.fine = encode, most, fine
         self.clear()
 
