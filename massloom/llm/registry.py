@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import pieces, quality_rules, token_files, url_filters
+from . import licenses, pieces, pii, quality_rules, secrets, token_files, url_filters
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 QUERIES = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
+    "op3_licenses": licenses.op3_licenses,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_pieces": pieces.op6_pieces,
     "op7_token_files": token_files.op7_token_files,
+    "op8_secrets": secrets.op8_secrets,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
