@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, pieces, pii, quality_rules, secrets, token_files, url_filters
+from . import decontaminate, licenses, pieces, pii, quality_rules, secrets, token_files, url_filters
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op3_licenses": licenses.op3_licenses,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_pieces": pieces.op6_pieces,
     "op7_token_files": token_files.op7_token_files,
