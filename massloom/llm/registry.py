@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, pieces, pii, quality_rules, secrets, token_files, url_filters
+from . import decontaminate, licenses, ngram_join, pieces, pii, quality_rules, secrets, token_files, url_filters
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_pieces": pieces.op6_pieces,
     "op7_token_files": token_files.op7_token_files,
     "op8_secrets": secrets.op8_secrets,
+    "op9_ngram_classes": ngram_join.op9_ngram_classes,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
