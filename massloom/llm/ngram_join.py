@@ -47,7 +47,7 @@ FLUSH = 2_500_000
 BUCKET = 1_500_000
 CHUNK = 1000
 #: What an expected one-shingle subset costs, in entries, and the points kept beyond need.
-COLLISION = 0.5
+COLLISION = 2.0
 SPARE = 0.12
 
 BITS = 39
