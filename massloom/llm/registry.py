@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, ngram_join, pieces, pii, quality_rules, secrets, token_files, url_filters
+from . import decontaminate, licenses, line_dedup, ngram_join, pieces, pii, quality_rules, secrets, token_files, url_filters
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_licenses": licenses.op3_licenses,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
