@@ -1,10 +1,53 @@
-"""The corpus pipeline; see massloom.llm."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, SentencePiece ids.
 
-STAGES: list = []
+Every stage but the last takes and returns the columns of documents, and works on all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from massloom.llm import decontaminate, line_dedup, ngram_join, pieces, quality_rules
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines of which an earlier document, or line, has a copy or near copy."""
+    return line_dedup.dedup(docs)
+
+
+def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces, n_bytes, round_trip."""
+    return pieces.encode(docs, pieces.default_model())
+
+
+STAGES = [
+    ("quality rules", good_documents),
+    ("line dedup", unique_lines),
+    ("n-gram Jaccard join", unique_documents),
+    ("benchmark decontamination", unseen_documents),
+    ("SentencePiece encoding", piece_ids),
+]
+
+#: EM, MinHash classes and Viterbi are beyond SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
