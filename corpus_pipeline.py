@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from massloom.llm import decontaminate, line_dedup, ngram_join, pieces, quality_rules
+from massloom.session import reach_workers
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +23,19 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    reach_workers(spark)
     return ngram_join.keep_one(docs)
 
 
 def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    reach_workers(spark)
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, n_bytes, round_trip."""
+    reach_workers(spark)
     return pieces.encode(docs, pieces.default_model())
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
+    from ..session import reach_workers
     from . import registry
 
-    return registry.QUERIES
+    def reaching(query):
+        return lambda spark, sf_dir: query(reach_workers(spark), sf_dir)
+
+    return {name: reaching(query) for name, query in registry.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
