@@ -114,7 +114,7 @@ def mass_error_ppm_observed(observed: Column, theoretical: Column) -> Column:
 
 def parse_collections(value: Column) -> Column:
     """Names of a pipe-separated list: trimmed, empty ones dropped, each once; none for null."""
-    names = F.filter(F.transform(F.split(value, "\\|"), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(value, "\\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.array_distinct(names), F.array().cast("array<string>"))
 
 

@@ -1,6 +1,5 @@
 """All queries of the library over the driver's tables, and their SQL."""
 
-from __future__ import annotations
+from .plans.queries import QUERIES, SQL
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
