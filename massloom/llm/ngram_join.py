@@ -18,7 +18,9 @@ Work and exactness under skew:
 - A group's sets are first compared with their leader alone (a star), and links make classes. Then all pairs of a group
   that lie in different classes are compared, but in groups over HOT sets only those of documents that lost so many
   points to such groups that a partner could hide there alone; every other pair has met in a smaller group.
-- Candidate pairs are verified on the texts, exactly.
+- Before a candidate pair's texts are fetched, sizes and histograms must allow a link: each set keeps counts of its
+  shingles in HIST parts of the universe, and sets differ in at least the sum of the counts' differences. That bound is
+  exact and refutes nearly all pairs that share but a passage. What is left is verified on the texts, exactly.
 
 Edge cases: texts without words (null, empty, blank) have n_shingles 0 and link with nothing; 1 to 4 words are one
 shingle; rows that repeat an id share its class; a null id has the class of equal sets, else null; an empty table gives
@@ -50,6 +52,9 @@ CHUNK = 1000
 COLLISION = 2.0
 SPARE = 0.12
 
+#: Parts of the universe in the histogram of a set; a count stops at 255, which can only lower the bound.
+HIST = 128
+
 BITS = 39
 U = np.uint64
 
@@ -124,6 +129,11 @@ class Sets:
     def set(self, i: int) -> np.ndarray:
         return self.values[self.first[i] : self.first[i] + self.sizes[i]]
 
+    def histograms(self) -> pa.Array:
+        counts = np.bincount(self.text * HIST + (self.values % U(HIST)).astype(np.int64), minlength=self.n * HIST)
+        data = np.minimum(counts, 255).astype(np.uint8)
+        return pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer((np.arange(self.n + 1) * HIST).astype(np.int32)), pa.py_buffer(data)])
+
     def band(self) -> np.ndarray:
         return np.searchsorted(bands(int(self.sizes.max(initial=1))), self.sizes, "right") - 1
 
@@ -187,7 +197,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text"):
             s = Sets(part.column("text"))
             own, low = s.both_spares()
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s.sizes), *[pa.array(x.view(np.int64)) for x in s.ids], pa.array(np.minimum(own, 1 << 30).astype(np.int32)), pa.array(np.minimum(low, 1 << 30).astype(np.int32))], ["id", "n", "a", "b", "own_spare", "low_spare"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s.sizes), *[pa.array(x.view(np.int64)) for x in s.ids], pa.array(np.minimum(own, 1 << 30).astype(np.int32)), pa.array(np.minimum(low, 1 << 30).astype(np.int32)), s.histograms()], ["id", "n", "a", "b", "own_spare", "low_spare", "hist"])
 
 
 def _five(x: np.ndarray) -> np.ndarray:
@@ -323,6 +333,31 @@ def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
+def _can_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n, m = b.column("xn").to_numpy(), b.column("yn").to_numpy()
+        x, y = (flat_bytes(b.column(c)).reshape(-1, HIST).astype(np.int16) for c in ("xh", "yh"))
+        ok = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.abs(x - y).sum(1) <= may_differ(n, m))
+        mask = pa.array(ok)
+        yield pa.RecordBatch.from_arrays([b.column("x").filter(mask), b.column("y").filter(mask)], ["x", "y"])
+
+
+def flat_bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column of values of one length."""
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint8)
+    bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) of representatives that sizes and histograms do not refute."""
+    facts = sets.select("rep", "n", "hist")
+    both = pairs.join(facts.toDF("x", "xn", "xh"), "x").join(facts.toDF("y", "yn", "yh"), "y").where("4 * least(xn, yn) >= 3 * greatest(xn, yn)")
+    return both.mapInArrow(_can_link, "x long, y long").distinct()
+
+
 def _by_rep(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of 40-bit set ids (p, q) as distinct pairs of representatives (x < y)."""
     named = pairs.join(reps.select(F.col("id40").alias("p"), F.col("rep").alias("px")), "p").join(reps.select(F.col("id40").alias("q"), F.col("rep").alias("qx")), "q")
@@ -349,15 +384,15 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """One row a document: doc_id, n_shingles, component_id (the least id that links reach, itself included)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sizes = scratch(rows.mapInArrow(_measure, "id long, n long, a long, b long, own_spare int, low_spare int"), "njsizes")
+    sizes = scratch(rows.mapInArrow(_measure, "id long, n long, a long, b long, own_spare int, low_spare int, hist binary"), "njsizes")
     filled = sizes.where("n > 0 and id is not null")
-    sets = scratch(filled.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.min("own_spare").alias("own_spare"), F.min("low_spare").alias("low_spare")), "njsets")
+    sets = scratch(filled.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.min("own_spare").alias("own_spare"), F.min("low_spare").alias("low_spare"), F.first("hist").alias("hist")), "njsets")
     reps = sets.select(F.expr("shiftrightunsigned(a, 24)").alias("id40"), "rep")
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     groups = scratch(rows.where("id is not null").mapInArrow(_emit(n_buckets), ENTRIES).groupBy("bucket").applyInArrow(_reduce, GROUPS), "njgroups")
     star = groups.select(F.col("leader").alias("p"), F.explode("ids").alias("q")).where("p <> q").distinct()
-    tested = scratch(_by_rep(star, reps), "njpairs")
+    tested = scratch(_plausible(_by_rep(star, reps), sets), "njpairs")
     links = _links(tested, rows)
     found = connected_components(links, "njcc")
     # what is left: pairs of a group in different classes, in small groups and, for documents short of points, in hot ones
@@ -367,7 +402,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         counts = hot.select("token", F.posexplode("ids").alias("pos", "id40"), "n_own").groupBy("id40").agg(F.countDistinct(F.when(F.col("pos") < F.col("n_own"), F.col("token"))).alias("in_own"), F.countDistinct(F.when(F.col("pos") >= F.col("n_own"), F.col("token"))).alias("in_low"))
         short = sets.select(F.expr("shiftrightunsigned(a, 24)").alias("id40"), "rep", "own_spare", "low_spare").join(counts, "id40").where("in_own > own_spare or in_low > low_spare").select("id40", "rep")
         more = more.unionByName(_cross(scratch(_spread(hot, short, found), "njhot"))).distinct()
-    rest = scratch(more.join(tested, ["x", "y"], "left_anti"), "njrest")
+    rest = scratch(_plausible(more, sets).join(tested, ["x", "y"], "left_anti"), "njrest")
     if not rest.isEmpty():
         further = _links(rest, rows)
         if not further.isEmpty():
