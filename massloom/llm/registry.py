@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from . import decontaminate, licenses, line_dedup, ngram_join, pieces, pii, quality_rules, secrets, token_files, url_filters
 
-_SPACE = "[\\x20\\x09-\\x0D]+"
-
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -19,4 +17,35 @@ QUERIES = {
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Rules and the exact membership that the cascade must give, by a plain grouped look-up.
+_URL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filters.RULES)
+_URLS = f"""
+WITH parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages)
+), rules(h, p, v) AS (VALUES {_URL_RULES}), fits AS (
+    SELECT page_id, h || p AS rule, v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1
+), listed AS (
+    SELECT host FROM parts LEFT JOIN fits USING (page_id) WHERE host <> '' GROUP BY host HAVING avg(coalesce(v = 'block', false)::int) >= {url_filters.LISTED_SHARE}
+)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+#: All pairs by their shared shingles, links by exact similarity, classes by reachability.
+_CLASSES = f"""
+WITH RECURSIVE ws AS (
+    SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM ws WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), links AS (
+    SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL)
+    JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.y FROM reach JOIN links ON reach.b = links.x)
+SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, r.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+SQL: dict[str, str] = {"op9_ngram_classes": _CLASSES, "op10_url_filters": _URLS}
