@@ -4,7 +4,8 @@ Words lose case and outer signs; numbers, names and units become typed slots (<n
 template words of every document meet the benchmark's windows by hash. A hit is a contamination if the slots are
 consistent: either the filled words are the same (a plain copy), or the question was re-parameterised, that is, each
 value of a slot in the item always turns into the same value of the same type in the document, and different values into
-different ones. Hits with less than MIN_FIXED words that are no slots say too little and are dropped.
+different ones. Windows with less than MIN_FIXED words that are no slots say too little for that and are left out. A
+second hash takes the words as they are but for case and outer signs: equal words are a copy, names in any case.
 
 The benchmark is the small side. Its windows go to every task as one sorted array while the benchmark has at most
 max_windows of them (16 bytes each); beyond that, the document's windows are joined with them by hash instead, after a
@@ -93,11 +94,11 @@ def _facts(word: str) -> tuple[int, int, int, int]:
     return kind, int(word[-1:] in ".!?:" or not core), low
 
 
-def template_hashes(data: np.ndarray, bounds: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word's template word, whether it is a slot, words a text, and the words' starts and ends in data."""
+def template_hashes(data: np.ndarray, bounds: np.ndarray, known: dict) -> tuple[np.ndarray, ...]:
+    """Hashes of each word's template word and plain word, whether it is a slot, words a text, the words' starts and ends."""
     starts, ends, counts = word_spans(data, bounds)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, bool), counts, starts, ends
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), counts, starts, ends
     sizes = ends - starts
     at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     packed = np.ascontiguousarray(data[~_is_space(data)])
@@ -124,9 +125,10 @@ def template_hashes(data: np.ndarray, bounds: np.ndarray, known: dict) -> tuple[
     number = kind == 1
     unit = (kind == 2) & ~first & np.append(False, number[:-1])
     name = (kind == 3) & ~begins
+    plain = word.copy()
     for mark, slot in ((1, number), (2, unit), (3, name)):
         word[slot] = mix(np.full(1, mark, np.uint64))[0]
-    return word, number | unit | name, counts, starts, ends
+    return word, plain, number | unit | name, counts, starts, ends
 
 
 def _is_space(data: np.ndarray) -> np.ndarray:
@@ -148,29 +150,31 @@ def _windows(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def benchmark_windows(benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """(width, hash, words): the distinct windows of all items with their words, slots and all."""
+    """(width, plain, hash, words): the distinct windows of all items with their words, by template and by plain words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            widths, hashes, words = [], [], []
+            widths, plains, hashes, words = [], [], [], []
             for text in batch.column("text"):
                 ws = words_of(text.as_py() or "")
                 width = min(WINDOW, len(ws))
                 if not width:
                     continue
-                word, slot, counts, _, _ = template_hashes(*flat(pa.array([" ".join(ws)])), known)
-                at, h = _windows(word, counts, width)
-                # a window keeps the word before it: whether its first word begins a sentence shows there
-                for i, x in zip(at.tolist(), h.tolist()):
-                    if width - int(slot[i : i + width].sum()) >= MIN_FIXED:
-                        widths.append(width)
-                        hashes.append(np.uint64(x).view(np.int64))
-                        words.append(ws[max(0, i - 1) : i + width] if i else ["", *ws[:width]])
-            yield pa.RecordBatch.from_arrays([pa.array(widths, pa.int32()), pa.array(hashes, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["width", "hash", "words"])
+                word, plain, slot, counts, _, _ = template_hashes(*flat(pa.array([" ".join(ws)])), known)
+                for as_is, hashed in ((False, word), (True, plain)):
+                    at, h = _windows(hashed, counts, width)
+                    for i, x in zip(at.tolist(), h.tolist()):
+                        if width - int(slot[i : i + width].sum()) >= MIN_FIXED or (as_is and width == WINDOW):
+                            widths.append(width)
+                            plains.append(as_is)
+                            hashes.append(np.uint64(x).view(np.int64))
+                            # the word before shows whether the first one begins a sentence
+                            words.append(ws[i - 1 : i + width] if i else ["", *ws[:width]])
+            yield pa.RecordBatch.from_arrays([pa.array(widths, pa.int32()), pa.array(plains, pa.bool_()), pa.array(hashes, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["width", "plain", "hash", "words"])
 
     rows = benchmark.select(F.col(text_column).alias("text")).where("text is not null")
-    return rows.mapInArrow(run, "width int, hash long, words array<string>").distinct()
+    return rows.mapInArrow(run, "width int, plain boolean, hash long, words array<string>").distinct()
 
 
 def slots_of(words: list[str]) -> list:
@@ -178,44 +182,50 @@ def slots_of(words: list[str]) -> list:
     return canonical(words)[1][1:] if words[0] else canonical(words[1:])[1]
 
 
-def _fits(item: list[list], found: list) -> bool:
-    return any(consistent(i, found) for i in item)
+def facts_of(words: list[str], plain: bool):
+    """What windows of one hash are compared by: words but for case and signs, or slots."""
+    return [w.strip(SIGNS).lower() for w in words[1:]] if plain else slots_of(words)
+
+
+def agree(plain: bool, item: list, found: list) -> bool:
+    return item == found if plain else consistent(item, found)
 
 
 class _Finder:
-    """Which texts of a batch hold a benchmark window with consistent slots."""
+    """Which texts of a batch hold a benchmark window with equal words or consistent slots."""
 
-    def __init__(self, rows: list[tuple[int, int, list[str]]]):
+    def __init__(self, rows: list[tuple[int, bool, int, list[str]]]):
         self.known: dict = {}
-        self.items: dict[tuple[int, int], list[list]] = {}
-        for width, h, words in rows:
-            self.items.setdefault((width, h), []).append(slots_of(words))
-        self.hashes = {w: np.unique(np.array([h for k, h in self.items if k == w], np.int64)) for w in {k for k, _ in self.items}}
-
-    def hits(self, column: pa.Array) -> Iterator[tuple[int, int, int, list]]:
-        """(text, width, hash, slots) of windows whose hash the benchmark has."""
+        self.items: dict[tuple[int, bool, int], list[list]] = {}
+        for width, plain, h, words in rows:
+            self.items.setdefault((width, plain, h), []).append(facts_of(words, plain))
+        kinds = {(w, p) for w, p, _ in self.items}
+        self.hashes = {k: np.unique(np.array([h for w, p, h in self.items if (w, p) == k], np.int64)) for k in kinds}
+
+    def hits(self, column: pa.Array) -> Iterator[tuple[int, tuple[int, bool, int], list]]:
+        """(text, key, facts) of windows whose hash the benchmark has."""
         data, bounds = flat(column)
-        word, _, counts, starts, ends = template_hashes(data, bounds, self.known)
+        word, plain_word, _, counts, starts, ends = template_hashes(data, bounds, self.known)
         text = np.repeat(np.arange(len(counts)), counts)
         first = np.cumsum(counts) - counts
-        for width, keys in self.hashes.items():
-            at, h = _windows(word, counts, width)
+        for (width, plain), keys in self.hashes.items():
+            at, h = _windows(plain_word if plain else word, counts, width)
             h = h.view(np.int64)
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             for i in np.flatnonzero(keys[place] == h):
                 a = int(at[i])
                 lead = a > first[text[a]]
                 span = [data[starts[j] : ends[j]].tobytes().decode() for j in range(a - lead, a + width)]
-                yield int(text[a]), width, int(h[i]), slots_of(span if lead else ["", *span])
+                yield int(text[a]), (width, plain, int(h[i])), facts_of(span if lead else ["", *span], plain)
 
     def contaminated(self, column: pa.Array) -> np.ndarray:
         out, seen = np.zeros(len(column), bool), {}
-        for text, width, h, slots in self.hits(column):
+        for text, key, facts in self.hits(column):
             if not out[text]:
-                key = (width, h, tuple(slots))
-                if key not in seen:
-                    seen[key] = _fits(self.items[width, h], slots)
-                out[text] = seen[key]
+                case = (key, tuple(facts))
+                if case not in seen:
+                    seen[case] = any(agree(key[1], item, facts) for item in self.items[key])
+                out[text] = seen[case]
         return out
 
 
@@ -228,7 +238,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", bench
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", dec__hit boolean"
     if n <= max_windows:
-        rows = [(r.width, r.hash, list(r.words)) for r in table.collect()]
+        rows = [(r.width, r.plain, r.hash, list(r.words)) for r in table.collect()]
         drop(table)
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
@@ -250,7 +260,7 @@ def _mark_by_join(docs: DataFrame, table: DataFrame, text_column: str) -> DataFr
     """
     from .common import scratch
 
-    widths = [r.width for r in table.select("width").distinct().collect()]  # at most WINDOW of them
+    widths = [(r.width, r.plain) for r in table.select("width", "plain").distinct().collect()]  # at most 2 * WINDOW of them
     numbered = scratch(docs.withColumn("dec__row", F.monotonically_increasing_id()), "decdocs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,26 +268,26 @@ def _mark_by_join(docs: DataFrame, table: DataFrame, text_column: str) -> DataFr
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, bounds = flat(part.column("text"))
-                word, _, counts, starts, ends = template_hashes(data, bounds, known)
+                word, plain_word, _, counts, starts, ends = template_hashes(data, bounds, known)
                 text = np.repeat(np.arange(len(counts)), counts)
                 first = np.cumsum(counts) - counts
                 ids = part.column("dec__row").to_numpy()
-                for width in widths:
-                    at, h = _windows(word, counts, width)
+                for width, plain in widths:
+                    at, h = _windows(plain_word if plain else word, counts, width)
                     for i in range(0, len(at), 20_000):
                         a = at[i : i + 20_000]
                         lead = (a > first[text[a]]).astype(int)
                         rows = [["" for _ in range(1 - b)] + [data[starts[j] : ends[j]].tobytes().decode() for j in range(k - b, k + width)] for k, b in zip(a.tolist(), lead.tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[text[a]]), pa.array(np.full(len(a), width, np.int32)), pa.array(h[i : i + 20_000].view(np.int64)), pa.array(rows, pa.list_(pa.string()))], ["dec__row", "width", "hash", "found"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[text[a]]), pa.array(np.full(len(a), width, np.int32)), pa.array(np.full(len(a), plain)), pa.array(h[i : i + 20_000].view(np.int64)), pa.array(rows, pa.list_(pa.string()))], ["dec__row", "width", "plain", "hash", "found"])
 
-    windows = numbered.select("dec__row", F.col(text_column).alias("text")).mapInArrow(run, "dec__row long, width int, hash long, found array<string>")
+    windows = numbered.select("dec__row", F.col(text_column).alias("text")).mapInArrow(run, "dec__row long, width int, plain boolean, hash long, found array<string>")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [consistent(slots_of(a), slots_of(b)) for a, b in zip(batch.column("words").to_pylist(), batch.column("found").to_pylist())]
+            ok = [agree(p, facts_of(a, p), facts_of(b, p)) for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("plain", "words", "found")))]
             yield pa.RecordBatch.from_arrays([batch.column("dec__row").filter(pa.array(ok, pa.bool_()))], ["dec__row"])
 
-    hits = windows.join(table, ["width", "hash"]).select("dec__row", "words", "found").mapInArrow(check, "dec__row long").distinct()
+    hits = windows.join(table, ["width", "plain", "hash"]).select("dec__row", "plain", "words", "found").mapInArrow(check, "dec__row long").distinct()
     return numbered.join(hits.withColumn("dec__hit", F.lit(True)), "dec__row", "left").select(*docs.columns, F.coalesce("dec__hit", F.lit(False)).alias("dec__hit"))
 
 
