@@ -371,13 +371,13 @@ def _sides(spark, d):
     return m.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("mass").alias("qm"), F.col("mode").alias("qs")), m.select(F.col("vec_id").alias("r"), F.col("mass").alias("rm"), F.col("mode").alias("rs"))
 
 
-_FITS = f"(SELECT a.vec_id AS q, b.vec_id AS r, a.mode = b.mode AS same FROM {_MASSES} a JOIN {_MASSES} b ON abs(a.mass - b.mass) <= 5 AND a.vec_id % 20 = 0)"
+_FITS = f"(SELECT a.vec_id AS q, b.vec_id AS r, a.mode = b.mode AS same FROM {_MASSES} a JOIN {_MASSES} b ON abs(a.mass - b.mass) <= 60 AND a.vec_id % 20 = 0)"
 _FALLBACK = f"(SELECT s.q, s.r, s.score, false AS fallback FROM {_SCORES} s JOIN {_FITS} f ON s.q = f.q AND s.r = f.r AND f.same UNION ALL SELECT q, r, score, true FROM {_SCORES} WHERE q NOT IN (SELECT q FROM {_FITS} WHERE same))"
 
 
 def _fallback(spark, d):
     q, r = _sides(spark, d)
-    return spectra.mass_filter_with_fallback(q, r, _scores(spark, d).select("q", "r", "score"), "q", "r", 5.0, "qs", "qm", "rm", "rs")
+    return spectra.mass_filter_with_fallback(q, r, _scores(spark, d).select("q", "r", "score"), "q", "r", 60.0, "qs", "qm", "rm", "rs")
 
 
 @query(f"SELECT q, r, score, fallback FROM {_FALLBACK}")
@@ -426,9 +426,9 @@ _HYBRID = f"(SELECT q, r, bool_or(s = 0) AS in_same_mass, bool_or(s = 1) AS in_o
 
 def _hybrid(spark, d):
     q, r = _sides(spark, d)
-    same = relational.band_join(q, r, "qm", "rm", 5.0, [("qs", "rs")]).select("q", "r").distinct()
+    same = relational.band_join(q, r, "qm", "rm", 60.0, [("qs", "rs")]).select("q", "r").distinct()
     flipped = q.withColumn("fs", chem.flipped_mode(F.col("qs"), (("O", "F"),)))
-    opposite = relational.band_join(flipped, r, "qm", "rm", 5.0, [("fs", "rs")]).select("q", "r").distinct()
+    opposite = relational.band_join(flipped, r, "qm", "rm", 60.0, [("fs", "rs")]).select("q", "r").distinct()
     top = ranking.top_candidates(_scores(spark, d), "q", "r", 25)
     return ranking.hybrid_candidates(same, opposite, top, "q", "r")
 
