@@ -15,9 +15,15 @@ Work and exactness under skew:
 - Exact copies of a set are one set from the start, by its 128-bit hash.
 - Entries travel packed, 10 bytes each, in rows of one bucket and flush. A subset that HOT or more sets of one flush
   share stays with the mapper: it sends one leader's entry on, and the group as pairs with that leader.
-- A group's sets are first compared with their leader alone (a star), and links make classes. Then all pairs of a group
-  that lie in different classes are compared, but in groups over HOT sets only those of documents that lost so many
-  points to such groups that a partner could hide there alone; every other pair has met in a smaller group.
+- A group's sets are first compared with their leader alone (a star), and links make classes; hot groups then try a
+  second leader, the greatest, for sets of other classes. Then all pairs of a small group that lie in different classes
+  are compared. Groups over HOT sets are left out of that: a document with points to spare meets every partner in a
+  smaller group all the same.
+- Documents that lost too many points to hot groups (they hold a passage that many share) are indexed anew, without
+  common shingles: those in their hot segments, marked in a bit table of fixed size (what it marks by chance only moves
+  more sets to the last step). A linked set lacks a quarter of the other at most, so a quarter and one of the shingles
+  that are left, in order, hold a common one. Only sets that are common for three quarters themselves, large families of
+  near copies, compare pairs of different classes within hot groups.
 - Before a candidate pair's texts are fetched, sizes and histograms must allow a link: each set keeps counts of its
   shingles in HIST parts of the universe, and sets differ in at least the sum of the counts' differences. That bound is
   exact and refutes nearly all pairs that share but a passage. What is left is verified on the texts, exactly.
@@ -43,7 +49,7 @@ from .textnum import distinct, flat, hash_spans, lower, mix, pieces, windows, wo
 
 WIDTH = 5
 #: Sets in a group beyond which it is hot.
-HOT = 64
+HOT = 16
 #: Entries a mapper holds before it writes them out, and entries meant for a bucket.
 FLUSH = 2_500_000
 BUCKET = 1_500_000
@@ -55,6 +61,9 @@ SPARE = 0.12
 #: Parts of the universe in the histogram of a set; a count stops at 255, which can only lower the bound.
 HIST = 128
 
+#: Bits that mark common shingles.
+MARKS = 1 << 23
+
 BITS = 39
 U = np.uint64
 
@@ -165,6 +174,25 @@ class Sets:
         low = self.spare(np.where((self.sizes > 0) & (k > 0), k - 1, -1), may_differ(self.sizes, np.minimum(self.sizes, lower_most)))
         return own, low
 
+    def in_segments(self, wanted: list[set]) -> np.ndarray:
+        """Whether each element lies in a segment of its text that the index knows by one of the text's wanted tokens.
+
+        Tokens are as groups have them: the bucket's bits above the token's low ones, so only the low ones are compared.
+        """
+        k, out = self.band(), np.zeros(len(self.values), bool)
+        flat_ = np.array(sorted({(i << BITS) | (t & ((1 << BITS) - 1)) for i, ts in enumerate(wanted) for t in ts}), np.int64)
+        if not len(flat_):
+            return out
+        for scheme in (np.where(self.sizes > 0, k, -1), np.where((self.sizes > 0) & (k > 0), k - 1, -1)):
+            use, key, count, owner, number, _ = self._segments(scheme)
+            sums = np.zeros(len(count), U)
+            np.add.at(sums, key, mix(self.values[use] + U(0x1D)))
+            token = mix(sums + mix(number.astype(U) + (scheme[owner].astype(U) << U(32)) + U(0xF1)))
+            name = (owner << BITS) | (token & U((1 << BITS) - 1)).astype(np.int64)
+            place = np.minimum(np.searchsorted(flat_, name), len(flat_) - 1)
+            out[use] |= ((flat_[place] == name) & (count > 0))[key]
+        return out
+
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index entries of all texts: token, text, and whether it is under the text's own band."""
         k, tokens, texts, owns = self.band(), [], [], []
@@ -333,6 +361,35 @@ def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of the shingles in hot segments of (rep, text, tokens)."""
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            s = Sets(part.column("text"))
+            hot = s.in_segments([set(x) for x in part.column("tokens").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(s.values[hot] % U(MARKS)).astype(np.int32))], ["mark"])
+
+
+def _rare_prefixes(marked: np.ndarray):
+    """(token, id, reduced): a quarter and one of each set's unmarked shingles; reduced if there are so many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                s, reps = Sets(part.column("text")), part.column("rep").to_pylist()
+                rare = ~marked[(s.values % U(MARKS)).astype(np.int64)]
+                tokens, ids, reduced = [], [], []
+                for i, rep in enumerate(reps):
+                    want = int(s.sizes[i]) // 4 + 1
+                    left = s.set(i)[rare[s.first[i] : s.first[i] + s.sizes[i]]]
+                    tokens.append(left[:want].view(np.int64))
+                    ids.append(np.full(min(want, len(left)), rep))
+                    reduced.append(np.full(min(want, len(left)), len(left) >= want))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, ids, reduced)], ["token", "rep", "reduced"])
+
+    return run
+
+
 def _can_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, m = b.column("xn").to_numpy(), b.column("yn").to_numpy()
@@ -373,6 +430,33 @@ def _spread(groups: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame
     return members.join(split, "token", "left_semi")
 
 
+def _short_pairs(hot: DataFrame, short: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of documents short of points that only hot groups could show: by rare prefixes, or by class in hot groups."""
+    spark = rows.sparkSession
+    tokens = hot.select("token", F.explode("ids").alias("id40")).join(short, "id40").groupBy("rep").agg(F.collect_set("token").alias("tokens"))
+    texts = scratch(rows.join(tokens, rows["id"] == tokens["rep"]).select("rep", "text", "tokens"), "njshort")
+    marked = np.zeros(MARKS, bool)
+    for r in texts.select("text", "tokens").mapInArrow(_common, "mark int").groupBy((F.col("mark") / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("mark") % 64)).alias("w")).toLocalIterator():  # MARKS / 64 rows at most
+        marked[64 * r["i"] : 64 * r["i"] + 64] = np.unpackbits(np.array([r["w"]], "<i8").view(np.uint8), bitorder="little").astype(bool)
+    shared = spark.sparkContext.broadcast(np.packbits(marked))
+
+    def rare(batches):
+        return _rare_prefixes(np.unpackbits(shared.value).astype(bool))(batches)
+
+    prefixes = scratch(texts.select("rep", "text").mapInArrow(rare, "token long, rep long, reduced boolean").distinct(), "njrare")
+    met = prefixes.groupBy("token").agg(F.count("*").alias("n"), F.bool_or("reduced").alias("some")).where("n > 1 and some").select("token")
+    near = prefixes.join(met, "token").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.col("reduced").alias("own"), F.coalesce("component", "rep").alias("component"))
+    alike = short.join(prefixes.where("reduced").select("rep").distinct(), "rep", "left_anti")
+    out = _cross(near).unionByName(_cross(scratch(_spread(hot, alike, found), "njhot")))
+    return out.distinct()
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sets lie in different classes so far."""
+    of = lambda c: classes.toDF(c, f"{c}c")
+    return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where("coalesce(xc, x) <> coalesce(yc, y)").select("x", "y")
+
+
 def _cross(members: DataFrame) -> DataFrame:
     """Pairs of a token's members in different classes, one of them at least of the token's own band."""
     left = members.select("token", F.col("rep").alias("x"), F.col("own").alias("xo"), F.col("component").alias("xc"))
@@ -395,13 +479,22 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     tested = scratch(_plausible(_by_rep(star, reps), sets), "njpairs")
     links = _links(tested, rows)
     found = connected_components(links, "njcc")
+    hot = groups.where("hot")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        second = hot.where("n_own > 0").select(F.expr("get(ids, n_own - 1)").alias("p"), F.explode("ids").alias("q")).where("p <> q").distinct()
+        again = scratch(_plausible(_apart(_by_rep(second, reps), found), sets).join(tested, ["x", "y"], "left_anti"), "njagain")
+        if not again.isEmpty():
+            tested = scratch(tested.unionByName(again), "njpairs")
+            links = scratch(links.unionByName(_links(again, rows)), "njlinks")
+            found = connected_components(links, "njcc")
     # what is left: pairs of a group in different classes, in small groups and, for documents short of points, in hot ones
     small = scratch(_spread(groups.where("size > 2 and not hot"), reps, found), "njsmall")
     more = _cross(small)
-    if not (hot := groups.where("hot")).isEmpty():
+    if any_hot:
         counts = hot.select("token", F.posexplode("ids").alias("pos", "id40"), "n_own").groupBy("id40").agg(F.countDistinct(F.when(F.col("pos") < F.col("n_own"), F.col("token"))).alias("in_own"), F.countDistinct(F.when(F.col("pos") >= F.col("n_own"), F.col("token"))).alias("in_low"))
         short = sets.select(F.expr("shiftrightunsigned(a, 24)").alias("id40"), "rep", "own_spare", "low_spare").join(counts, "id40").where("in_own > own_spare or in_low > low_spare").select("id40", "rep")
-        more = more.unionByName(_cross(scratch(_spread(hot, short, found), "njhot"))).distinct()
+        more = more.unionByName(_short_pairs(hot, scratch(short, "njfew"), rows, found)).distinct()
     rest = scratch(_plausible(more, sets).join(tested, ["x", "y"], "left_anti"), "njrest")
     if not rest.isEmpty():
         further = _links(rest, rows)
