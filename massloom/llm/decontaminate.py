@@ -8,7 +8,7 @@ different ones. Windows with less than MIN_FIXED words that are no slots say too
 second hash takes the words as they are but for case and outer signs: equal words are a copy, names in any case.
 
 The benchmark is the small side. Its windows go to every task as one sorted array while the benchmark has at most
-max_windows of them (16 bytes each); beyond that, the document's windows are joined with them by hash instead, after a
+max_windows of them (some 1.5 kB each with their words); beyond that, the document's windows are joined with them by hash instead, after a
 Bloom filter of Spark's own runtime filters at most. Either way only windows that hit leave a document, and slots are
 checked on those.
 
@@ -32,7 +32,7 @@ from .textnum import flat, hash_spans, mix, pieces, word_spans
 
 WINDOW = 13
 MIN_FIXED = 6
-MAX_WINDOWS = 4_000_000
+MAX_WINDOWS = 200_000
 
 #: Words for units and numbers, as they stand in questions.
 UNITS = frozenset("mm cm m km mg g kg t ml l s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years inch inches foot feet ft yard yards mile miles pound pounds lb lbs ounce ounces oz gallon gallons liter liters litre litres meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms ton tons dollar dollars euro euros cent cents usd eur gbp percent % degree degrees celsius fahrenheit kelvin watt watts kw kwh volt volts amp amps hz khz mhz ghz kb mb gb tb".split())
