@@ -7,10 +7,9 @@ value of a slot in the item always turns into the same value of the same type in
 different ones. Windows with less than MIN_FIXED words that are no slots say too little for that and are left out. A
 second hash takes the words as they are but for case and outer signs: equal words are a copy, names in any case.
 
-The benchmark is the small side. Its windows go to every task as one sorted array while the benchmark has at most
-max_windows of them (some 1.5 kB each with their words); beyond that, the document's windows are joined with them by hash instead, after a
-Bloom filter of Spark's own runtime filters at most. Either way only windows that hit leave a document, and slots are
-checked on those.
+The benchmark is the small side. Its windows go to every task while the benchmark has at most max_windows of them (some
+1.5 kB each with their words); beyond that, the documents' windows are joined with them by hash, by shuffle. Either way
+only windows that hit are looked at closely, and slots are checked on those.
 
 Edge cases: null, empty and short texts have no window and are clean; an item with fewer than WINDOW words is one window
 of its own length if it has MIN_FIXED fixed words, and matches documents' windows of that length; repeated rows are
