@@ -16,7 +16,7 @@ Work and exactness under skew:
 - Entries travel packed, 10 bytes each, in rows of one bucket and flush. A subset that HOT or more sets of one flush
   share stays with the mapper: it sends one leader's entry on, and the group as pairs with that leader.
 - A group's sets are first compared with their leader alone (a star), and links make classes; hot groups then try a
-  second leader, the greatest, for sets of other classes. Then all pairs of a small group that lie in different classes
+  second leader, the set in most hot groups (the least changed of a family), for sets of other classes. Then all pairs of a small group that lie in different classes
   are compared. Groups over HOT sets are left out of that: a document with points to spare meets every partner in a
   smaller group all the same.
 - Documents that lost too many points to hot groups (they hold a passage that many share) are indexed anew, without
@@ -58,8 +58,9 @@ CHUNK = 1000
 COLLISION = 2.0
 SPARE = 0.12
 
-#: Parts of the universe in the histogram of a set; a count stops at 255, which can only lower the bound.
-HIST = 128
+#: Parts of the universe in the histogram of a set, and in that of a set over LARGE, which folds to the other; a count
+#: stops at 255.
+HIST, FINE, LARGE = 128, 1024, 1000
 
 #: Bits that mark common shingles.
 MARKS = 1 << 23
@@ -139,9 +140,11 @@ class Sets:
         return self.values[self.first[i] : self.first[i] + self.sizes[i]]
 
     def histograms(self) -> pa.Array:
-        counts = np.bincount(self.text * HIST + (self.values % U(HIST)).astype(np.int64), minlength=self.n * HIST)
+        width = np.where(self.sizes > LARGE, FINE, HIST)
+        base = np.concatenate([[0], np.cumsum(width)])
+        counts = np.bincount(base[self.text] + (self.values % width[self.text].astype(U)).astype(np.int64), minlength=int(base[-1]))
         data = np.minimum(counts, 255).astype(np.uint8)
-        return pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer((np.arange(self.n + 1) * HIST).astype(np.int32)), pa.py_buffer(data)])
+        return pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(data)])
 
     def band(self) -> np.ndarray:
         return np.searchsorted(bands(int(self.sizes.max(initial=1))), self.sizes, "right") - 1
@@ -390,24 +393,27 @@ def _rare_prefixes(marked: np.ndarray):
     return run
 
 
+def least_difference(x: bytes, y: bytes) -> int:
+    """In how many elements sets differ at least, by their histograms."""
+    a, b = (np.frombuffer(h, np.uint8).astype(np.int64) for h in (x, y))
+    if len(a) != len(b):
+        if (a == 255).any() or (b == 255).any():  # a stopped count can't be held against a folded one
+            return 0
+        a, b = a.reshape(-1, HIST).sum(0), b.reshape(-1, HIST).sum(0)
+    return int(np.abs(a - b).sum())
+
+
 def _can_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, m = b.column("xn").to_numpy(), b.column("yn").to_numpy()
-        x, y = (flat_bytes(b.column(c)).reshape(-1, HIST).astype(np.int16) for c in ("xh", "yh"))
-        ok = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.abs(x - y).sum(1) <= may_differ(n, m))
+        ok = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+        at = np.flatnonzero(ok)
+        differ = [least_difference(x.as_py(), y.as_py()) for x, y in zip(b.column("xh").take(pa.array(at)), b.column("yh").take(pa.array(at)))]
+        ok[at] = np.array(differ, np.int64) <= may_differ(n, m)[at]
         mask = pa.array(ok)
         yield pa.RecordBatch.from_arrays([b.column("x").filter(mask), b.column("y").filter(mask)], ["x", "y"])
 
 
-def flat_bytes(column: pa.Array) -> np.ndarray:
-    """The bytes of a binary column of values of one length."""
-    _, offsets, data = column.buffers()
-    if not len(column):
-        return np.zeros(0, np.uint8)
-    bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
-
-
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) of representatives that sizes and histograms do not refute."""
     facts = sets.select("rep", "n", "hist")
@@ -482,7 +488,10 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     hot = groups.where("hot")
     any_hot = not hot.isEmpty()
     if any_hot:
-        second = hot.where("n_own > 0").select(F.expr("get(ids, n_own - 1)").alias("p"), F.explode("ids").alias("q")).where("p <> q").distinct()
+        members = hot.select("token", F.posexplode("ids").alias("pos", "id40"), "n_own").select("token", "id40", (F.col("pos") < F.col("n_own")).alias("own"))
+        weights = members.groupBy("id40").agg(F.count("*").alias("w"))
+        lead = members.where("own").join(weights, "id40").groupBy("token").agg(F.max_by("id40", "w").alias("p"))
+        second = members.join(lead, "token").select("p", F.col("id40").alias("q")).where("p <> q").distinct()
         again = scratch(_plausible(_apart(_by_rep(second, reps), found), sets).join(tested, ["x", "y"], "left_anti"), "njagain")
         if not again.isEmpty():
             tested = scratch(tested.unionByName(again), "njpairs")
