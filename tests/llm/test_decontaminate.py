@@ -19,17 +19,19 @@ CASES = {
 def brute(text, items):
     ws = d.words_of(text or "")
     tmpl, slots = d.canonical(ws)
+    low = [x.strip(d.SIGNS).lower() for x in ws]
     for item in items:
         iw = d.words_of(item or "")
         it, isl = d.canonical(iw)
+        ilow = [x.strip(d.SIGNS).lower() for x in iw]
         w = min(d.WINDOW, len(iw))
         for i in range(len(iw) - w + 1):
             fixed = sum(s is None for s in isl[i : i + w]) >= d.MIN_FIXED
             if w == d.WINDOW or fixed:
                 for j in range(len(ws) - w + 1):
-                    if [x.strip(d.SIGNS).lower() for x in ws[j : j + w]] == [x.strip(d.SIGNS).lower() for x in iw[i : i + w]]:
+                    if low[j] == ilow[i] and low[j : j + w] == ilow[i : i + w]:
                         return True
-                    if fixed and tmpl[j : j + w] == it[i : i + w] and d.consistent(isl[i : i + w], slots[j : j + w]):
+                    if fixed and tmpl[j] == it[i] and tmpl[j : j + w] == it[i : i + w] and d.consistent(isl[i : i + w], slots[j : j + w]):
                         return True
     return False
 
