@@ -13,17 +13,19 @@ of its sorted set, the classic prefix filter, so pairs of two such documents mee
 
 Work and exactness under skew:
 - Exact copies of a set are one set from the start, by its 128-bit hash.
-- Entries travel packed, 10 bytes each, in rows of one bucket and flush. A subset that HOT or more sets of one flush
-  share stays with the mapper: it sends one leader's entry on, and the group as pairs with that leader.
-- A group's sets are first compared with their leader alone (a star), and links make classes; hot groups then try a
-  second leader, the set in most hot groups (the least changed of a family), for sets of other classes. Then all pairs of a small group that lie in different classes
-  are compared. Groups over HOT sets are left out of that: a document with points to spare meets every partner in a
-  smaller group all the same.
-- Documents that lost too many points to hot groups (they hold a passage that many share) are indexed anew, without
-  common shingles: those in their hot segments, marked in a bit table of fixed size (what it marks by chance only moves
-  more sets to the last step). A linked set lacks a quarter of the other at most, so a quarter and one of the shingles
-  that are left, in order, hold a common one. Only sets that are common for three quarters themselves, large families of
-  near copies, compare pairs of different classes within hot groups.
+- Entries travel packed, 10 bytes each, in rows of one bucket and flush. A token that HOT or more sets share anywhere is
+  hot, for all of its sets alike: a mapper that sees so many of them keeps its members in rows of their own and sends a
+  marker to the token's bucket, which then counts its other members as hot too. So no bucket holds a large group, and
+  hotness depends neither on files nor on flushes.
+- Groups that are not hot compare with their leader (a star), links make classes, and then all pairs of a group in
+  different classes are compared, fewer than HOT ** 2 / 2 a group.
+- Hot groups compare nothing. A set is short if the hot tokens that it lost are worth more points than it has to spare.
+  A linked pair with one set that is not short still shares a token that is not hot, so it has met already. Pairs of two
+  short sets (families of near copies, documents that are mostly a common passage) meet by a prefix filter over the short
+  sets alone, rarest shingles first: with rem shingles from the first common one on, rem of both must reach 3/7 of the
+  joint sizes. A passage's shingles come last in that order, so sets that share but a passage hardly meet. Leaders link
+  families first (the least changed set of each shingle's group, then others), and what then lies in different classes
+  and passes the filter is compared by pairs. A shingle's largest class is never paired with itself.
 - Before a candidate pair's texts are fetched, sizes and histograms must allow a link: each set keeps counts of its
   shingles in HIST parts of the universe, and sets differ in at least the sum of the counts' differences. That bound is
   exact and refutes nearly all pairs that share but a passage. What is left is verified on the texts, exactly.
@@ -41,15 +43,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import connected_components, drop, scratch
 from .textnum import distinct, flat, hash_spans, lower, mix, pieces, windows, word_spans
 
 WIDTH = 5
-#: Sets in a group beyond which it is hot.
+#: Sets in a group from which on it is hot.
 HOT = 16
+#: Rounds of leaders among short sets before pairs of different classes are compared; a round without a link ends them.
+ROUNDS = 3
 #: Entries a mapper holds before it writes them out, and entries meant for a bucket.
 FLUSH = 2_500_000
 BUCKET = 1_500_000
@@ -62,10 +67,9 @@ SPARE = 0.12
 #: stops at 255.
 HIST, FINE, LARGE = 128, 1024, 1000
 
-#: Bits that mark common shingles.
-MARKS = 1 << 23
-
 BITS = 39
+#: Stands for a hot token in its bucket; ids of sets begin at 1.
+MARKER = 0
 U = np.uint64
 
 
@@ -177,25 +181,6 @@ class Sets:
         low = self.spare(np.where((self.sizes > 0) & (k > 0), k - 1, -1), may_differ(self.sizes, np.minimum(self.sizes, lower_most)))
         return own, low
 
-    def in_segments(self, wanted: list[set]) -> np.ndarray:
-        """Whether each element lies in a segment of its text that the index knows by one of the text's wanted tokens.
-
-        Tokens are as groups have them: the bucket's bits above the token's low ones, so only the low ones are compared.
-        """
-        k, out = self.band(), np.zeros(len(self.values), bool)
-        flat_ = np.array(sorted({(i << BITS) | (t & ((1 << BITS) - 1)) for i, ts in enumerate(wanted) for t in ts}), np.int64)
-        if not len(flat_):
-            return out
-        for scheme in (np.where(self.sizes > 0, k, -1), np.where((self.sizes > 0) & (k > 0), k - 1, -1)):
-            use, key, count, owner, number, _ = self._segments(scheme)
-            sums = np.zeros(len(count), U)
-            np.add.at(sums, key, mix(self.values[use] + U(0x1D)))
-            token = mix(sums + mix(number.astype(U) + (scheme[owner].astype(U) << U(32)) + U(0xF1)))
-            name = (owner << BITS) | (token & U((1 << BITS) - 1)).astype(np.int64)
-            place = np.minimum(np.searchsorted(flat_, name), len(flat_) - 1)
-            out[use] |= ((flat_[place] == name) & (count > 0))[key]
-        return out
-
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index entries of all texts: token, text, and whether it is under the text's own band."""
         k, tokens, texts, owns = self.band(), [], [], []
@@ -245,15 +230,16 @@ ENTRIES = "bucket int, entries binary, token long, leader long, ids array<long>,
 GROUPS = "token long, leader long, ids array<long>, n_own int, size int, hot boolean"
 
 
-def _group_rows(token: np.ndarray, ids: np.ndarray, own: np.ndarray, hot: bool | None):
+def _group_rows(token: np.ndarray, ids: np.ndarray, own: np.ndarray, least: int = 1):
     """Rows of GROUPS, CHUNK ids at most in each, of entries sorted by (token, not own, id), each (token, id) once.
 
-    The leader is the least id of the group's own band; a group without one holds no pair and is left out.
+    The leader is the least id of the group's own band. Groups of least sets or fewer, and, if least is 1, those without
+    a set of the own band, hold no pair and are left out.
     """
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(token)))
     n_own = np.add.reduceat(own.astype(np.int64), first) if len(first) else size
-    keep = (size > 1) & (n_own > 0)
+    keep = (size > least) & (n_own >= least)
     rows = []
     for f, n, k in zip(first[keep].tolist(), size[keep].tolist(), n_own[keep].tolist()):
         for c in range(0, n, CHUNK):
@@ -281,14 +267,14 @@ def _emit(n_buckets: int):
             if hot.any():
                 at = np.flatnonzero(hot)
                 at = at[np.lexsort((id40[at], ~own[at], token[at]))]
-                r, t, leader, lists = _group_rows(token[at], id40[at], own[at], True)
+                r, t, leader, lists = _group_rows(token[at], id40[at], own[at], 0)
                 n = len(r)
                 key = pa.array(-1 - (np.arange(n) + flushes * 7919 + int(token[0] % U(65521))) % n_buckets, pa.int32())
                 yield pa.RecordBatch.from_arrays([key, pa.nulls(n, pa.binary()), t, leader, lists, pa.array(r[:, 3].astype(np.int32))], ["bucket", "entries", "token", "leader", "ids", "n_own"])
-                # the leader, and the least set of the band above, stand for the group elsewhere
-                new = np.append(True, (token[at][1:] != token[at][:-1]) | (own[at][1:] != own[at][:-1]))
+                # one marker tells the bucket that the token is hot
+                new = at[np.append(True, token[at][1:] != token[at][:-1])]
                 send[hot] = False
-                send[at[new]] = True
+                send[new], id40[new] = True, MARKER
             token, id40, own, bucket = token[send], id40[send], own[send], bucket[send]
             packed = np.hstack([_five(((token & U((1 << BITS) - 1)) << U(1)) | own.astype(U)), _five(id40)])
             used, cut = np.unique(bucket, return_index=True)
@@ -307,7 +293,7 @@ def _emit(n_buckets: int):
                         fresh[i] = True
                 keep = fresh[text]
                 tokens.append(token[keep])
-                ids.append((s.ids[0] >> U(24))[text[keep]])
+                ids.append(np.maximum(s.ids[0] >> U(24), U(MARKER + 1))[text[keep]])
                 owns.append(own[keep])
                 held += int(keep.sum())
                 if held >= FLUSH:
@@ -340,8 +326,16 @@ def _reduce(table: pa.Table) -> pa.Table:
     new = np.append(True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])) if len(token) else np.zeros(0, bool)
     token, own, ids = token[new], own[new], ids[new]
     token = token | (U(table.column("bucket")[0].as_py()) << U(BITS))
-    r, t, leader, lists = _group_rows(token, ids, own, None)
-    return pa.table([t, leader, lists, pa.array(r[:, 3].astype(np.int32)), pa.array(r[:, 4].astype(np.int32)), pa.array(r[:, 4] > HOT)], names).cast(pa.schema(list(zip(names, kinds))))
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(token)))
+    marked = np.add.reduceat((ids == U(MARKER)).astype(np.int64), first) if len(first) else size
+    is_hot, real = np.repeat((size >= HOT) | (marked > 0), size), ids != U(MARKER)
+    out = []
+    for hot in (False, True):
+        at = (is_hot == hot) & real
+        r, t, leader, lists = _group_rows(token[at], ids[at], own[at], int(not hot))
+        out.append(pa.table([t, leader, lists, pa.array(r[:, 3].astype(np.int32)), pa.array(r[:, 4].astype(np.int32)), pa.array(np.full(len(r), hot))], names).cast(pa.schema(list(zip(names, kinds)))))
+    return pa.concat_tables(out)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,33 +358,13 @@ def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of the shingles in hot segments of (rep, text, tokens)."""
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, n, a, set) of (rep, text)."""
     for batch in batches:
         for part in pieces(batch, "text"):
             s = Sets(part.column("text"))
-            hot = s.in_segments([set(x) for x in part.column("tokens").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(s.values[hot] % U(MARKS)).astype(np.int32))], ["mark"])
-
-
-def _rare_prefixes(marked: np.ndarray):
-    """(token, id, reduced): a quarter and one of each set's unmarked shingles; reduced if there are so many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                s, reps = Sets(part.column("text")), part.column("rep").to_pylist()
-                rare = ~marked[(s.values % U(MARKS)).astype(np.int64)]
-                tokens, ids, reduced = [], [], []
-                for i, rep in enumerate(reps):
-                    want = int(s.sizes[i]) // 4 + 1
-                    left = s.set(i)[rare[s.first[i] : s.first[i] + s.sizes[i]]]
-                    tokens.append(left[:want].view(np.int64))
-                    ids.append(np.full(min(want, len(left)), rep))
-                    reduced.append(np.full(min(want, len(left)), len(left) >= want))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, ids, reduced)], ["token", "rep", "reduced"])
-
-    return run
+            lists = pa.ListArray.from_arrays(pa.array(np.append(s.first, len(s.values)).astype(np.int32)), pa.array(s.values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(s.sizes), pa.array(s.ids[0].view(np.int64)), lists], ["rep", "n", "a", "set"])
 
 
 def least_difference(x: bytes, y: bytes) -> int:
@@ -436,31 +410,53 @@ def _spread(groups: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame
     return members.join(split, "token", "left_semi")
 
 
-def _short_pairs(hot: DataFrame, short: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of documents short of points that only hot groups could show: by rare prefixes, or by class in hot groups."""
-    spark = rows.sparkSession
-    tokens = hot.select("token", F.explode("ids").alias("id40")).join(short, "id40").groupBy("rep").agg(F.collect_set("token").alias("tokens"))
-    texts = scratch(rows.join(tokens, rows["id"] == tokens["rep"]).select("rep", "text", "tokens"), "njshort")
-    marked = np.zeros(MARKS, bool)
-    for r in texts.select("text", "tokens").mapInArrow(_common, "mark int").groupBy((F.col("mark") / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("mark") % 64)).alias("w")).toLocalIterator():  # MARKS / 64 rows at most
-        marked[64 * r["i"] : 64 * r["i"] + 64] = np.unpackbits(np.array([r["w"]], "<i8").view(np.uint8), bitorder="little").astype(bool)
-    shared = spark.sparkContext.broadcast(np.packbits(marked))
+def _short_sets(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep) of the sets whose hot tokens are worth more points than they can spare, by either scheme."""
+    each = hot.select("token", F.posexplode("ids").alias("pos", "id40"), "n_own").select("token", "id40", (F.col("pos") < F.col("n_own")).alias("own")).distinct()
+    lost = each.groupBy("id40").agg(F.count_if("own").alias("in_own"), F.count_if(~F.col("own")).alias("in_low"))
+    return sets.select(_id40(), "rep", "own_spare", "low_spare").join(lost, "id40").where("in_own > own_spare or in_low > low_spare").select("rep").distinct()
+
+
+def _front(short: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s, rep, n, rem): the shingles s of each short set, rarest first, from which on rem are left that another short
+    set has too, while these are three quarters of the set; the first common one of a linked pair is in both fronts."""
+    texts = rows.join(short, rows["id"] == short["rep"]).select("rep", "text")
+    each = scratch(texts.mapInArrow(_shingles, "rep long, n long, a long, set array<long>").dropDuplicates(["rep", "a"]), "njshort").select("rep", "n", "a", F.explode("set").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    from_here = F.row_number().over(Window.partitionBy("rep", "a").orderBy(F.desc("often"), F.desc("s")))
+    front = each.join(often, "s").select("s", "rep", "n", from_here.alias("rem")).where("4 * rem >= 3 * n")
+    return scratch(front, "njfront")
+
+
+#: Whether members x and y of a shingle's group can link by what each has left from that shingle on.
+ROOM = "7 * least(xr, yr) >= 3 * (xn + yn)"
+
 
-    def rare(batches):
-        return _rare_prefixes(np.unpackbits(shared.value).astype(bool))(batches)
+def _led(front: DataFrame, found: DataFrame | None, r: int) -> DataFrame:
+    """Pairs (x, y) of each group's members with a leader of another class: first the least changed set, then any."""
+    members = front.withColumn("component", F.col("rep")) if found is None else _classed(front, found)
+    order = F.struct((F.col("rem") / F.col("n")).alias("o") if r == 0 else F.xxhash64("rep", F.lit(r)).alias("o"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("rem").alias("yr"), F.col("component").alias("yc"))
+    lead = members.groupBy("s").agg(F.max(order).alias("l")).select("s", "l.*")
+    met = members.select("s", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("rem").alias("xr"), F.col("component").alias("xc")).join(lead, "s").where(f"xc <> yc and {ROOM}")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    prefixes = scratch(texts.select("rep", "text").mapInArrow(rare, "token long, rep long, reduced boolean").distinct(), "njrare")
-    met = prefixes.groupBy("token").agg(F.count("*").alias("n"), F.bool_or("reduced").alias("some")).where("n > 1 and some").select("token")
-    near = prefixes.join(met, "token").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.col("reduced").alias("own"), F.coalesce("component", "rep").alias("component"))
-    alike = short.join(prefixes.where("reduced").select("rep").distinct(), "rep", "left_anti")
-    out = _cross(near).unionByName(_cross(scratch(_spread(hot, alike, found), "njhot")))
-    return out.distinct()
 
+def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets lie in different classes so far."""
-    of = lambda c: classes.toDF(c, f"{c}c")
-    return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where("coalesce(xc, x) <> coalesce(yc, y)").select("x", "y")
+
+def _cross_front(front: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (x, y) of a group's members in different classes that have room for a link.
+
+    One side lies outside the group's largest class, and has room beside the smallest set of the group at least.
+    """
+    members = _classed(front, found)
+    by_class = members.groupBy("s", "component").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    most = by_class.groupBy("s").agg(F.max(F.struct("k", "component"))["component"].alias("most"), F.count("*").alias("classes"), F.min("least").alias("least")).where("classes > 1").drop("classes")
+    mixed = scratch(members.join(most, "s"), "njmixed").where("7 * rem >= 3 * (n + least)")
+    side = lambda df, k: df.select("s", F.col("rep").alias(k), F.col("n").alias(f"{k}n"), F.col("rem").alias(f"{k}r"), F.col("component").alias(f"{k}c"))
+    met = side(mixed.where("component <> most"), "x").join(side(mixed, "y"), "s").where(f"xc <> yc and {ROOM}")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def _cross(members: DataFrame) -> DataFrame:
@@ -470,6 +466,10 @@ def _cross(members: DataFrame) -> DataFrame:
     return left.join(right, "token").where("x < y and xc <> yc and (xo or yo)").select("x", "y").distinct()
 
 
+def _id40() -> Column:
+    return F.greatest(F.expr("shiftrightunsigned(a, 24)"), F.lit(MARKER + 1)).alias("id40")
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least id that links reach, itself included)."""
     spark = docs.sparkSession
@@ -477,39 +477,38 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     sizes = scratch(rows.mapInArrow(_measure, "id long, n long, a long, b long, own_spare int, low_spare int, hist binary"), "njsizes")
     filled = sizes.where("n > 0 and id is not null")
     sets = scratch(filled.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.min("own_spare").alias("own_spare"), F.min("low_spare").alias("low_spare"), F.first("hist").alias("hist")), "njsets")
-    reps = sets.select(F.expr("shiftrightunsigned(a, 24)").alias("id40"), "rep")
+    reps = sets.select(_id40(), "rep")
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     groups = scratch(rows.where("id is not null").mapInArrow(_emit(n_buckets), ENTRIES).groupBy("bucket").applyInArrow(_reduce, GROUPS), "njgroups")
-    star = groups.select(F.col("leader").alias("p"), F.explode("ids").alias("q")).where("p <> q").distinct()
-    tested = scratch(_plausible(_by_rep(star, reps), sets), "njpairs")
+    cold = groups.where("not hot")
+    short = scratch(_short_sets(groups.where("hot"), sets), "njfew")
+    front = _front(short, rows)
+    star = _by_rep(cold.select(F.col("leader").alias("p"), F.explode("ids").alias("q")).where("p <> q").distinct(), reps)
+    tested = scratch(_plausible(star.unionByName(_led(front, None, 0)).distinct(), sets), "njpairs")
     links = _links(tested, rows)
     found = connected_components(links, "njcc")
-    hot = groups.where("hot")
-    any_hot = not hot.isEmpty()
-    if any_hot:
-        members = hot.select("token", F.posexplode("ids").alias("pos", "id40"), "n_own").select("token", "id40", (F.col("pos") < F.col("n_own")).alias("own"))
-        weights = members.groupBy("id40").agg(F.count("*").alias("w"))
-        lead = members.where("own").join(weights, "id40").groupBy("token").agg(F.max_by("id40", "w").alias("p"))
-        second = members.join(lead, "token").select("p", F.col("id40").alias("q")).where("p <> q").distinct()
-        again = scratch(_plausible(_apart(_by_rep(second, reps), found), sets).join(tested, ["x", "y"], "left_anti"), "njagain")
-        if not again.isEmpty():
-            tested = scratch(tested.unionByName(again), "njpairs")
-            links = scratch(links.unionByName(_links(again, rows)), "njlinks")
-            found = connected_components(links, "njcc")
-    # what is left: pairs of a group in different classes, in small groups and, for documents short of points, in hot ones
-    small = scratch(_spread(groups.where("size > 2 and not hot"), reps, found), "njsmall")
-    more = _cross(small)
-    if any_hot:
-        counts = hot.select("token", F.posexplode("ids").alias("pos", "id40"), "n_own").groupBy("id40").agg(F.countDistinct(F.when(F.col("pos") < F.col("n_own"), F.col("token"))).alias("in_own"), F.countDistinct(F.when(F.col("pos") >= F.col("n_own"), F.col("token"))).alias("in_low"))
-        short = sets.select(F.expr("shiftrightunsigned(a, 24)").alias("id40"), "rep", "own_spare", "low_spare").join(counts, "id40").where("in_own > own_spare or in_low > low_spare").select("id40", "rep")
-        more = more.unionByName(_short_pairs(hot, scratch(short, "njfew"), rows, found)).distinct()
-    rest = scratch(_plausible(more, sets).join(tested, ["x", "y"], "left_anti"), "njrest")
-    if not rest.isEmpty():
-        further = _links(rest, rows)
-        if not further.isEmpty():
-            found = connected_components(links.unionByName(further), "njcc")
-    drop(groups, tested, small, rest)
+
+    def further(pairs: DataFrame) -> bool:
+        """Test pairs of different classes that were not tested; whether any links."""
+        nonlocal tested, links, found
+        fresh = scratch(_plausible(pairs.join(tested, ["x", "y"], "left_anti"), sets), "njpairs")
+        if fresh.isEmpty():
+            return False
+        more = _links(fresh, rows)
+        tested = tested.unionByName(fresh)
+        if more.isEmpty():
+            return False
+        links = links.unionByName(more)
+        found = connected_components(links, "njcc")
+        return True
+
+    for r in range(1, ROUNDS):
+        if not further(_led(front, found, r)):
+            break
+    # what is left: pairs in different classes, of small groups and of short sets
+    further(_cross(scratch(_spread(cold.where("size > 2"), reps, found), "njsmall")).unionByName(_cross_front(front, found)).distinct())
+    drop(groups, front, short)
     rep_of = sets.select("n", "a", "b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
     # an id that stands on several rows joins their classes
     out = sizes.join(rep_of, ["n", "a", "b"], "left")

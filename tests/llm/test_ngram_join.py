@@ -56,6 +56,43 @@ def test_classes_match_brute_force(spark):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("common, others, spread", [(115, 400, 1), (212, 60, 1), (115, 400, 2), (40, 120, 7), (60, 90, 211)])
+def test_links_do_not_depend_on_files(spark, common, others, spread):
+    """A passage is hot in one file and rare in another: what two documents share is counted over all of them."""
+    passage = " ".join(f"p{i}" for i in range(common + 4))
+    own = [f"own{i}" for i in range(200)]
+    one = [(1, f"{passage} {' '.join(own[: common // 6])}"), (2, f"{passage} {' '.join(own[: common // 6 - 6])} {' '.join(own[100:106])}")]
+    many = [(10 + k, f"{prose(k, common)} {passage} {prose(k + 5000, 30)}") for k in range(others)]
+    near = [(5000 + k, x) for k, x in enumerate(family(common, common, 40, common // 12))]
+    expected = brute([*one, *many, *near])
+    assert expected[2][1] == 1
+    split = spark.createDataFrame([one[0], *many, *near], "doc_id long, text string").coalesce(1)
+    split = split.unionByName(spark.createDataFrame([one[1]], "doc_id long, text string").coalesce(1))
+    docs = split if spread == 1 else split.repartition(spread)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.classes(docs).collect()}
+    assert got == expected
+
+
+def test_hotness_does_not_depend_on_flushes():
+    """Members of a hot token are the same whether one flush, several or none sees it as hot."""
+    texts = family(3, 120, 60, 2) + [f"{prose(k, 30)} {prose(9, 40)}" for k in range(40)]
+    ids = pa.array(range(len(texts)), pa.int64())
+
+    def hot_and_cold(cuts):
+        rows = [j._emit(3)([pa.RecordBatch.from_arrays([ids[a:b], pa.array(texts[a:b])], ["id", "text"])]) for a, b in zip([0, *cuts], [*cuts, len(texts)])]
+        table = pa.Table.from_batches([b for r in rows for b in r])
+        out = [j._reduce(table.filter(pa.compute.equal(table.column("bucket"), k))) for k in sorted(set(table.column("bucket").to_pylist()))]
+        found = {True: set(), False: set()}
+        for r in pa.concat_tables(out).to_pylist():
+            found[r["hot"]] |= {(r["token"], i, k < r["n_own"]) for k, i in enumerate(r["ids"])}
+        return found
+
+    whole = hot_and_cold([])
+    assert whole[True] and whole[False]
+    for cuts in ([50], [3, 97], list(range(1, len(texts)))):
+        assert hot_and_cold(cuts) == whole
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 11, 14, 18, 40, 97, 300, 900])
 def test_linked_sets_share_an_entry(n):
     """The pigeonhole: sets on the edge of linking meet, under plain segments, neighbourhoods, or both prefixes."""
