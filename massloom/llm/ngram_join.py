@@ -56,9 +56,11 @@ HOT = 16
 #: Rounds of leaders among short sets before pairs of different classes are compared; a round without a link ends them.
 ROUNDS = 3
 #: Entries a mapper holds before it writes them out, and entries meant for a bucket.
-FLUSH = 2_500_000
+FLUSH = 1_000_000
 BUCKET = 1_500_000
 CHUNK = 1000
+#: Bytes of text that a mapper looks at at once, or one text.
+PIECE = 2 << 20
 #: What an expected one-shingle subset costs, in entries, and the points kept beyond need.
 COLLISION = 2.0
 SPARE = 0.12
@@ -210,7 +212,7 @@ class Sets:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", PIECE):
             s = Sets(part.column("text"))
             own, low = s.both_spares()
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s.sizes), *[pa.array(x.view(np.int64)) for x in s.ids], pa.array(np.minimum(own, 1 << 30).astype(np.int32)), pa.array(np.minimum(low, 1 << 30).astype(np.int32)), s.histograms()], ["id", "n", "a", "b", "own_spare", "low_spare", "hist"])
@@ -256,6 +258,8 @@ def _emit(n_buckets: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             token, id40, own = np.concatenate(tokens), np.concatenate(ids), np.concatenate(owns)
+            for held_list in (tokens, ids, owns):
+                held_list.clear()
             bucket = (((token >> U(32)) * U(n_buckets)) >> U(32)).astype(np.int64)
             token = (bucket.astype(U) << U(BITS)) | (token & U((1 << BITS) - 1))
             order = np.argsort(token)
@@ -283,7 +287,7 @@ def _emit(n_buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64())), pa.nulls(none, pa.int32())], ["bucket", "entries", "token", "leader", "ids", "n_own"])
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 s = Sets(part.column("text"))
                 token, text, own = s.entries()
                 fresh = np.zeros(s.n, bool)
@@ -298,7 +302,7 @@ def _emit(n_buckets: int):
                 held += int(keep.sum())
                 if held >= FLUSH:
                     yield from out()
-                    tokens, ids, owns, held, seen, flushes = [], [], [], 0, set(), flushes + 1
+                    held, seen, flushes = 0, set(), flushes + 1
         if held:
             yield from out()
 
