@@ -142,16 +142,19 @@ class UnitCache:
     Texts are cut into units that a coder treats alone: at a space between two characters that are surely no white
     space (the space opens a unit). Units repeat far more than texts do. encode(list of str) gives all their ids, one
     after another, and how many each has.
+
+    Bounds: a call adds the new units of its texts; a call that finds more than most units, or more than 16 * most ids,
+    first drops those that were not met again since the last such call (all, if half of the bound is still held then).
     """
 
-    def __init__(self, encode, most: int = 1_000_000, fine: bool = False):
+    def __init__(self, encode, most: int = 400_000, fine: bool = False):
         self.encode, self.most, self.fine = encode, most, fine
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
-        self.starts, self.used = np.zeros(1 << 12, np.int64), 0
+        self.starts, self.used, self.again = np.zeros(1 << 12, np.int64), 0, np.zeros(1 << 12, bool)
 
     def _learn(self, units: list[str]) -> None:
         for i in range(0, len(units), 20_000):
@@ -162,23 +165,40 @@ class UnitCache:
                 self.ids = np.resize(self.ids, max(need, 2 * len(self.ids)))
             if k + len(part) > len(self.sizes):
                 more = max(k + len(part), 2 * len(self.sizes))
-                self.sizes, self.starts = np.resize(self.sizes, more), np.resize(self.starts, more)
+                self.sizes, self.starts, self.again = (np.resize(x, more) for x in (self.sizes, self.starts, self.again))
             self.ids[self.used : need] = ids
             self.sizes[k : k + len(part)] = sizes
             self.starts[k : k + len(part)] = self.used + np.cumsum(sizes) - sizes
+            self.again[k : k + len(part)] = False
             self.known.update(zip(part, range(k, k + len(part))))
             self.used = need
 
+    def _shrink(self) -> None:
+        """Keep the units that were met again, and forget that they were."""
+        keep = np.flatnonzero(self.again[: len(self.known)])
+        sizes = self.sizes[keep]
+        if 2 * len(keep) > self.most or sizes.sum() > 8 * self.most:
+            return self.clear()
+        names, at = list(self.known), ragged(self.starts[keep], sizes)
+        ids = self.ids[at]
+        self.clear()
+        self.known = dict(zip((names[k] for k in keep.tolist()), range(len(keep))))
+        self.ids, self.used = np.append(ids, np.zeros(1 << 16, np.int32)), len(ids)
+        self.sizes, self.starts, self.again = sizes, np.cumsum(sizes) - sizes, np.zeros(len(keep), bool)
+
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and how many each text has."""
         cuts = unit_cuts(data, bounds, self.fine)
         units = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
         coded = units.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.known) > self.most:
-            self.clear()
+        if len(self.known) > self.most or self.used > 16 * self.most:
+            self._shrink()
+        old = len(self.known)
         self._learn([x for x in names if x not in self.known])
-        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.again[place[place < old]] = True
+        place = place[coded.indices.to_numpy()]
         sizes = self.sizes[place]
         ids = self.ids[ragged(self.starts[place], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])

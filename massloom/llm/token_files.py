@@ -5,11 +5,14 @@ first. Blocks of BLOCK ids begin at byte offsets that the file lists, so a block
 without the rest. Layout, little-endian: magic, then uint32 bits, n_docs, n_blocks, uint64 n_ids; int64 doc_id, uint8
 null mark and uint32 length of every document; uint64 byte offset of every block from the payload's start; payload.
 
+Documents are encoded first, where they lie; their ids, packed in two or four bytes, are then dealt by ranges of (id, a
+hash of the ids), so that texts never move, equal ids may part, and the number of ranges follows the number of ids.
 Files are written by Spark's Parquet sink, one in a row (part, seq, file): the sink works in any store that Spark
 reaches and commits by task, so a lost executor leaves no half file. dump() puts them out as plain files.
 
-Edge cases: a null or empty text has the end id alone; documents of one id keep their order by text; null ids come
-first; an empty table gives no file; other columns are not read.
+Edge cases: a null or empty text has the end id alone; a special token's spelling in a text is that token, as the
+library has it; documents of one id are ordered by a hash of their token ids; null ids come first; very long texts are
+encoded whole; an empty table gives no file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +38,12 @@ MAGIC = b"MLBITS01"
 BLOCK = 4096
 #: Ids in one file, a document more or less.
 FILE_IDS = 2_000_000
+#: Ids in one range of documents: the total's PARTS-th part within these bounds.
+PART_IDS = (2_000_000, 64_000_000)
+PARTS = 128
 END_ID = 0
+#: Bytes of text encoded at once, or one text.
+PIECE = 2 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -109,13 +119,8 @@ class TokenFile:
 
 
 def tokenizer_units(path: str):
-    """encode for a UnitCache by the tokenizers library; spellings of special tokens in a text are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-
+    """encode for a UnitCache by the tokenizers library, for units that hold no added token's spelling."""
+    coder = _coder(path)
     feed = coder.encode("\n", add_special_tokens=False).ids
 
     def one_by_one(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,25 +153,76 @@ def tokenizer_units(path: str):
     return encode
 
 
-#: One cache a worker process: it lasts over the tasks that the process runs.
-_caches: dict[str, UnitCache] = {}
+@lru_cache(maxsize=2)
+def _coder(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
 
-def _cache(path: str) -> UnitCache:
-    if path not in _caches:
-        _caches[path] = UnitCache(tokenizer_units(path), fine=True)
-    return _caches[path]
 
+class TextCoder:
+    """Ids of whole texts, as the library gives them without special tokens added."""
 
-def vocabulary_size(path: str) -> int:
-    from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        self.coder, self.cache = _coder(path), UnitCache(tokenizer_units(path), fine=True)
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after another, and how many each text has."""
+        column = pc.fill_null(column, "")
+        whole = np.zeros(len(column), bool)
+        for token in self.added:  # units would cut these tokens, so texts with one are encoded in one go
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.cache(*flat(column))
+        sizes = np.zeros(len(column), np.int64)
+        part, sizes[~whole] = self.cache(*flat(column.filter(pa.array(~whole))))
+        rows = {i: np.array(self.coder.encode(column[i].as_py(), add_special_tokens=False).ids, np.int32) for i in np.flatnonzero(whole).tolist()}
+        sizes[list(rows)] = [len(x) for x in rows.values()]
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]), np.int32)
+        mine = np.repeat(whole, sizes)
+        out[~mine] = part
+        out[mine] = np.concatenate(list(rows.values()))
+        return out, sizes
 
-    return Tokenizer.from_file(path).get_vocab_size()
+
+#: One coder a worker process: it lasts over the tasks that the process runs.
+@lru_cache(maxsize=2)
+def _text_coder(path: str) -> TextCoder:
+    return TextCoder(path)
+
+
+def vocabulary_size(path: str) -> int:
+    return _coder(path).get_vocab_size()
 
 
 FILES = "part int, seq int, n_ids long, file binary"
 
 
+def encode_texts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n, ids): each document's ids with the end id, as little-endian numbers of two bytes, or of four where the
+    vocabulary needs them."""
+    kind = "<u2" if bits_for(vocabulary_size(tokenizer_path)) <= 16 else "<u4"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _text_coder(tokenizer_path)
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                got, sizes = coder(piece.column("text"))
+                ended = np.full(len(got) + len(sizes), END_ID, kind)
+                keep = np.ones(len(ended), bool)
+                keep[np.cumsum(sizes + 1) - 1] = False
+                ended[keep] = got
+                cuts = np.append(0, np.cumsum(sizes + 1)) * ended.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(ended)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes + 1), packed], ["doc_id", "n", "ids"])
+
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(encode, "doc_id long, n long, ids binary")
+
+
 def encode_files(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """FILES rows over all documents in ascending order of ids: by (part, seq), each file after the one before it.
 
@@ -174,36 +230,34 @@ def encode_files(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     before a space that follows a letter, digit or sign, so units between such spaces are encoded once each (UnitCache).
     """
     bits = bits_for(vocabulary_size(tokenizer_path))
+    kind = "<u2" if bits <= 16 else "<u4"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, seq = _cache(tokenizer_path), TaskContext.get().partitionId(), 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
         doc_ids, lengths, ids, n = [], [], [], 0
 
         def out():
-            data = pack_file(doc_ids, np.concatenate(lengths), np.concatenate(ids), bits)
+            data = pack_file(doc_ids, np.array(lengths), np.concatenate(ids), bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "file"])
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                got, sizes = cache(*flat(piece.column("text")))
-                ended = np.full(len(got) + len(sizes), END_ID, np.int32)
-                keep = np.ones(len(ended), bool)
-                keep[np.cumsum(sizes + 1) - 1] = False
-                ended[keep] = got
-                doc_ids += piece.column("doc_id").to_pylist()
-                lengths.append(sizes + 1)
-                ids.append(ended.astype(np.uint16 if bits <= 16 else np.uint32))
-                n += len(ended)
+            for doc_id, k, data in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
+                doc_ids.append(doc_id)
+                lengths.append(k)
+                ids.append(np.frombuffer(data.as_buffer(), kind))
+                n += k
                 if n >= file_ids:
                     yield out()
                     doc_ids, lengths, ids, n, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield out()
 
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(encode, FILES)
+    encoded = scratch(encode_texts(docs, tokenizer_path, id_column, text_column), "tokenids")
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    least, most = PART_IDS
+    n_parts = max(1, -(-total // min(most, max(least, total // PARTS))))
+    rows = encoded.withColumn("h", F.xxhash64("ids")).repartitionByRange(n_parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    return rows.select("doc_id", "n", "ids").mapInArrow(pack, FILES)
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -228,7 +282,10 @@ def read_files(files: DataFrame) -> DataFrame:
 
 
 def dump(files: DataFrame, folder: str) -> None:
-    """Write FILES rows as plain files part-PPPPP-SSSSS.tok in a folder that executors share."""
+    """Write FILES rows as plain files part-PPPPP-SSSSS.tok in a folder that all executors share (a mounted store).
+
+    On a cluster a path that is not shared would spread the files over machines: give one that is.
+    """
 
     def put(rows) -> None:
         os.makedirs(folder, exist_ok=True)

@@ -97,12 +97,11 @@ def test_token_files_match_the_library(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder = Tokenizer.from_file(path)
-    texts = [prose(1, 100), "a  b\n\n c \t d", "\x1c x\x85y   z", "It's it 's can't", " lead", "trail ", "日本 語", "<|endoftext|>x", "", None, "…foo.\nBar", "é x​ y", "12 34abc5 'll 'x", "\r\n x"]
+    texts = [prose(1, 100), "a  b\n\n c \t d", "\x1c x\x85y   z", "It's it 's can't", " lead", "trail ", "日本 語", "<|endoftext|>x", "a <|endoftext|> b<|endoftext|>", "<|endoftext|", "", None, "…foo.\nBar", "é x​ y", "12 34abc5 'll 'x", "\r\n x"]
     docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)][::-1], "doc_id long, text string")
     files = tf.encode_files(docs, path, file_ids=40)
     files.cache()
     rows = sorted(tf.read_files(files).collect())
-    coder.encode_special_tokens = True
     want, at = [], 0
     for i, t in enumerate(texts):
         ids = [*coder.encode(t or "", add_special_tokens=False).ids, 0]
@@ -114,6 +113,34 @@ def test_token_files_match_the_library(spark, tmp_path):
     assert sum(f.n_ids for f in found) == at and [x for f in found for x in f.doc_ids] == [w[0] for w in want]
 
 
+def test_special_tokens_are_as_the_library_has_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = Tokenizer.from_file(path)
+    texts = ["x <|endoftext|>y", None, "plain words", "<|endoftext|>", "no <|end of|> token", " <|endoftext|> <|endoftext|>\n"]
+    ids, sizes = tf.TextCoder(path)(pa.array(texts))
+    want = [coder.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w] and 50256 in ids
+
+
+def test_the_unit_cache_is_bounded_and_stays_right():
+    calls = []
+
+    def encode(units):
+        calls.extend(units)
+        return np.array([b for u in units for b in u.encode()], np.int32), np.array([len(u.encode()) for u in units], np.int64)
+
+    cache = textnum.UnitCache(encode, most=50)
+    for k in range(60):
+        texts = [f"often again u{k}a{i} v{k}" for i in range(7)]
+        ids, sizes = cache(*textnum.flat(pa.array(texts)))
+        assert bytes(ids.astype(np.uint8)).decode() == "".join(texts) and sizes.tolist() == [len(t) for t in texts]
+        assert len(cache.known) <= 50 + 20
+    assert calls.count(" again") == 1  # what is met again and again stays
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab'sl.,1 \n\t é日-", max_size=40))
 def test_units_don_t_change_ids(text):
