@@ -43,7 +43,7 @@ PART_IDS = (2_000_000, 64_000_000)
 PARTS = 128
 END_ID = 0
 #: Bytes of text encoded at once, or one text.
-PIECE = 2 << 20
+PIECE = 4 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -165,7 +165,7 @@ class TextCoder:
     """Ids of whole texts, as the library gives them without special tokens added."""
 
     def __init__(self, path: str):
-        self.coder, self.cache = _coder(path), UnitCache(tokenizer_units(path), fine=True)
+        self.coder, self.cache = _coder(path), UnitCache(tokenizer_units(path), most=800_000, fine=True)
         self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,8 @@ def vocabulary_size(path: str) -> int:
     return _coder(path).get_vocab_size()
 
 
-FILES = "part int, seq int, n_ids long, file binary"
+#: n_before: ids of the part's files before this one.
+FILES = "part int, seq int, n_before long, n_ids long, file binary"
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -233,12 +234,12 @@ def encode_files(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     kind = "<u2" if bits <= 16 else "<u4"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, ids, n = [], [], [], 0
 
         def out():
             data = pack_file(doc_ids, np.array(lengths), np.concatenate(ids), bits)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_before", "n_ids", "file"])
 
         for batch in batches:
             for doc_id, k, data in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
@@ -248,22 +249,23 @@ def encode_files(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
                 n += k
                 if n >= file_ids:
                     yield out()
-                    doc_ids, lengths, ids, n, seq = [], [], [], 0, seq + 1
+                    doc_ids, lengths, ids, n, seq, before = [], [], [], 0, seq + 1, before + n
         if doc_ids:
             yield out()
 
-    encoded = scratch(encode_texts(docs, tokenizer_path, id_column, text_column), "tokenids")
+    encoded = scratch(encode_texts(docs, tokenizer_path, id_column, text_column).withColumn("h", F.xxhash64("ids")), "tokenids")
     total = encoded.agg(F.sum("n")).first()[0] or 0
     least, most = PART_IDS
     n_parts = max(1, -(-total // min(most, max(least, total // PARTS))))
-    rows = encoded.withColumn("h", F.xxhash64("ids")).repartitionByRange(n_parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows = encoded.repartitionByRange(n_parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     return rows.select("doc_id", "n", "ids").mapInArrow(pack, FILES)
 
 
 def read_files(files: DataFrame) -> DataFrame:
     """A row a document of FILES: doc_id, start, n_tokens, ids_crc32. start counts the ids of all documents before it.
 
-    Sums of files run in two steps: over the parts, whose number is that of a job's partitions, and within each part.
+    A file knows the ids before it in its part; what lies in the parts before comes from a table with a row a part, some
+    hundred for most corpora and one for each PART_IDS[1] ids at the most, which Spark sends out or joins by its size.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +277,8 @@ def read_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(f.starts + base), pa.array(f.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
-    before = sizes.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before"))
-    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    bases = files.select("part", "seq", within.alias("within")).join(before, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
-    return files.join(bases, ["part", "seq"]).select("base", "file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = scratch(sizes.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before")), "tokenparts")
+    return files.join(before, "part").select((F.col("before") + F.col("n_before")).alias("base"), "file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def dump(files: DataFrame, folder: str) -> None:
