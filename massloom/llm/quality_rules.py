@@ -1,15 +1,20 @@
 """Quality rules by weak supervision: rules vote or abstain, EM estimates their accuracies, the posterior decides.
 
 Every rule looks at one measured ratio of a document and votes good (1), bad (-1) or abstains (0). The latent class of
-a document (good or bad) is never seen; expectation-maximisation over the counts of vote patterns estimates the class
-prior and, for each rule and class, the chances of a good and a bad vote given that the rule votes (a Dawid-Skene model with abstention, where an
-abstention says nothing of the class). What EM reads is the
-table of patterns, at most 3 ** len(RULES) rows whatever the corpus, counted over all documents. The posterior chance
-that a document is good takes the place of passing every rule. Only DataFrame functions touch documents.
+a document is never seen: it is good, or bad in one of several ways, since noise, shouting and repetition share few votes.
+There is one bad kind a rule. Expectation-maximisation over the counts of vote patterns estimates the share of each class
+and, for each class and rule, the chance of a bad vote where the rule votes (a Dawid-Skene model with abstention, where
+an abstention says nothing of the class). No chance is capped. What the author of a rule expects of it, the share of good
+documents that it wrongly calls bad, is a prior with the weight of TRUST documents for each document seen, so it counts
+alike at every size; votes that the other rules contradict move it. A rule's lone bad votes thus reject a document
+where they are more frequent than the rule's errors can explain, and are outvoted where they are not.
+What EM reads is the table of patterns, at most 3 ** len(RULES) rows whatever the corpus, counted over all documents. The
+posterior chance that a document is good takes the place of passing every rule. Only DataFrame functions touch documents.
 
 Edge cases: a null, empty or blank text has no words, all measures 0, abstains on every ratio and fails the base rules.
-Repeated rows are judged alike, each on its own row. An empty table gives an empty result. Other columns pass through;
-working columns are prefixed with q__ to clash with none.
+Repeated rows are judged alike, each on its own row. Very long texts are measured whole, as arrays of their words. A
+posterior of exactly the threshold is kept. An empty table gives an empty result. Other columns pass through; working
+columns are prefixed with q__ to clash with none.
 """
 
 from __future__ import annotations
@@ -115,57 +120,68 @@ RULES = {
 }
 
 
+#: The share of good documents that each rule is expected to call bad.
+EXPECTED_WRONG = {"symbols": 0.003, "capitals": 0.02, "shouting": 0.005, "repeats": 0.003, "same_lines": 0.01, "word_length": 0.05, "closed_lines": 0.05, "length": 0.05}
+#: Weights of the priors, in documents for each document seen: of EXPECTED_WRONG, and of what a bad kind is like.
+TRUST, KIND = 0.1, 0.0005
+#: Prior chances of a bad vote on a document of a bad kind: by the kind's own rule, and by any other.
+OWN_BAD, OTHER_BAD = 0.9, 0.2
+
+
 @dataclass(frozen=True)
 class VoteModel:
-    """prior: chance of a good document; wrong[rule]: chance of a bad vote on a good document, right[rule]: on a bad one."""
+    """share[c]: of class c, 0 the good one and k + 1 the bad kind of rule k; bad[c][rule]: chance of a bad vote."""
 
-    prior: float
-    wrong: tuple[float, ...]
-    right: tuple[float, ...]
+    share: tuple[float, ...]
+    bad: tuple[tuple[float, ...], ...]
+
+    @property
+    def prior(self) -> float:
+        return self.share[0]
 
     def accuracy(self, rule: int) -> float:
         """Chance that the rule is right where it votes."""
-        return self.prior * (1 - self.wrong[rule]) + (1 - self.prior) * self.right[rule]
+        return self.share[0] * (1 - self.bad[0][rule]) + sum(s * b[rule] for s, b in zip(self.share[1:], self.bad[1:]))
 
 
-#: The most good documents, as a share, that a rule may wrongly vote bad. The rules' bad bounds are set for it. Bad
-#: documents come in kinds that share few votes (noise, shouting, repetition); without this bound EM takes the largest
-#: kind for the bad class and counts the others as errors of their rules.
-MAX_WRONG = 0.002
+def _expected(n_rules: int, wrong: tuple[float, ...]) -> list[list[float]]:
+    return [list(wrong), *[[OWN_BAD if j == k else OTHER_BAD for j in range(n_rules)] for k in range(n_rules)]]
 
 
-def fit(counts: dict[tuple[int, ...], int], rounds: int = 200, smooth: float = 1.0) -> VoteModel:
-    """EM over counts of vote patterns. It starts from the belief that a document with a bad vote is likely bad."""
+def fit(counts: dict[tuple[int, ...], int], wrong: tuple[float, ...] | None = None, rounds: int = 500) -> VoteModel:
+    """EM over counts of vote patterns, from the priors on; wrong: the errors expected of each rule on good documents."""
     n_rules = len(next(iter(counts), tuple(RULES)))
-    good = {p: 0.1 if min(p, default=0) < 0 else 0.9 for p in counts}
-    model = VoteModel(0.5, (MAX_WRONG,) * n_rules, (0.5,) * n_rules)
+    wrong = wrong or tuple(EXPECTED_WRONG.values())
+    total = max(1, sum(counts.values()))
+    means = _expected(n_rules, wrong)
+    weights = [TRUST * total, *[KIND * total] * n_rules]
+    model = VoteModel((0.8, *[0.2 / n_rules] * n_rules), tuple(map(tuple, means)))
     for _ in range(rounds):
-        total = sum(counts.values())
-        mass = sum(good[p] * n for p, n in counts.items())
-        prior = min(max((mass + smooth) / (total + 2 * smooth), 1e-3), 1 - 1e-3)
-        wrong, right = [], []
-        for j in range(n_rules):
-            seen = {(c, v): smooth for c in (0, 1) for v in (-1, 1)}
-            for p, n in counts.items():
-                if p[j]:
-                    seen[1, p[j]] += good[p] * n
-                    seen[0, p[j]] += (1 - good[p]) * n
-            wrong.append(min(seen[1, -1] / (seen[1, -1] + seen[1, 1]), MAX_WRONG))
-            right.append(max(seen[0, -1] / (seen[0, -1] + seen[0, 1]), 2 * MAX_WRONG))
-        before, model = model, VoteModel(prior, tuple(wrong), tuple(right))
-        good = {p: 1 / (1 + math.exp(-log_odds(model, p))) for p in counts}
-        if abs(before.prior - model.prior) < 1e-12:
+        mass = [KIND * total] * (n_rules + 1)
+        seen = [[[0.0, 0.0] for _ in range(n_rules)] for _ in range(n_rules + 1)]
+        for p, n in counts.items():
+            for c, chance in enumerate(class_chances(model, p)):
+                mass[c] += chance * n
+                for j, v in enumerate(p):
+                    if v:
+                        seen[c][j][v > 0] += chance * n
+        bad = tuple(tuple((x[0] + w * m) / (x[0] + x[1] + w) for x, m in zip(row, mean)) for row, w, mean in zip(seen, weights, means))
+        before, model = model, VoteModel(tuple(m / sum(mass) for m in mass), bad)
+        if max(abs(x - y) for x, y in zip(before.share, model.share)) < 1e-10:
             break
     return model
 
 
-def _weights(model: VoteModel) -> list[tuple[float, float]]:
-    """What a bad and a good vote of each rule add to the log odds of a good document."""
-    return [(math.log(w / r), math.log((1 - w) / (1 - r))) for w, r in zip(model.wrong, model.right)]
+def _scores(model: VoteModel, pattern: tuple[int, ...]) -> list[float]:
+    return [math.log(s) + sum(math.log(b if v < 0 else 1 - b) for b, v in zip(row, pattern) if v) for s, row in zip(model.share, model.bad)]
 
 
-def log_odds(model: VoteModel, pattern: tuple[int, ...]) -> float:
-    return math.log(model.prior / (1 - model.prior)) + sum((v != 0) * w[v > 0] for w, v in zip(_weights(model), pattern))
+def class_chances(model: VoteModel, pattern: tuple[int, ...]) -> list[float]:
+    """Posterior chances of the classes given a pattern of votes; the first is that of a good document."""
+    scores = _scores(model, pattern)
+    top = max(scores)
+    e = [math.exp(x - top) for x in scores]
+    return [x / sum(e) for x in e]
 
 
 def votes(m: Column) -> Column:
@@ -180,10 +196,14 @@ def pattern_counts(frame: DataFrame, column: str) -> dict[tuple[int, ...], int]:
 
 def posterior(model: VoteModel, v: Column) -> Column:
     """Chance of a good document, as an expression of its votes."""
-    out = F.lit(math.log(model.prior / (1 - model.prior)))
-    for name, (bad, good) in zip(RULES, _weights(model)):
-        out = out + F.when(v[name] < 0, bad).when(v[name] > 0, good).otherwise(0.0)
-    return 1 / (1 + F.exp(-out))
+
+    def score(c: int) -> Column:
+        out = F.lit(math.log(model.share[c]))
+        for name, b in zip(RULES, model.bad[c]):
+            out = out + F.when(v[name] < 0, math.log(b)).when(v[name] > 0, math.log(1 - b)).otherwise(0.0)
+        return out
+
+    return let(F.array(*[score(c) for c in range(len(model.share))]), lambda s: 1 / F.aggregate(s, F.lit(0.0), lambda t, x: t + F.exp(x - F.get(s, 0))))
 
 
 def base_failed(m: Column) -> Column:
@@ -205,11 +225,14 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def keep_good(docs: DataFrame, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() would keep, all columns as they are. Texts are measured twice and never moved."""
-    voted = docs.select(measures(F.col(text_column)).alias("q__m")).select(votes(F.col("q__m")).alias("q__v"))
-    model = fit(pattern_counts(voted, "q__v"))
-    verdict = let(measures(F.col(text_column)), lambda m: ~base_failed(m) & (posterior(model, votes(m)) >= threshold))
-    return docs.where(verdict)
+    """The rows of docs that judge() would keep, all columns as they are.
+
+    Texts are measured once: documents are written with their votes, the patterns counted, and the table read again.
+    """
+    seen = docs.withColumn("q__m", measures(F.col(text_column)))
+    seen = scratch(seen.select(*docs.columns, votes(F.col("q__m")).alias("q__v"), base_failed(F.col("q__m")).alias("q__failed")), "qualitydocs")
+    model = fit(pattern_counts(seen, "q__v"))
+    return seen.where(~F.col("q__failed") & (posterior(model, F.col("q__v")) >= threshold)).select(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

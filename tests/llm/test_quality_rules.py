@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,30 +39,72 @@ def test_base_measures_match_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
-def test_posterior_matches_the_model(spark):
+def plain_em(rows, wrong):
+    """The same model over documents as a matrix of votes, in numpy."""
+    x = np.array(rows)
+    n, r = x.shape
+    mean = np.full((r + 1, r), q.OTHER_BAD)
+    mean[0] = wrong
+    mean[np.arange(1, r + 1), np.arange(r)] = q.OWN_BAD
+    weight = np.array([q.TRUST * n] + [q.KIND * n] * r)[:, None]
+    bad, share = mean.copy(), np.array([0.8] + [0.2 / r] * r)
+    for _ in range(400):
+        like = np.log(share) + ((x < 0) @ np.log(bad).T) + ((x > 0) @ np.log(1 - bad).T)
+        chance = np.exp(like - like.max(1, keepdims=True))
+        chance /= chance.sum(1, keepdims=True)
+        share = chance.sum(0) + q.KIND * n
+        share /= share.sum()
+        no, yes = chance.T @ (x < 0), chance.T @ (x > 0)
+        bad = (no + weight * mean) / (no + yes + weight)
+    return chance[:, 0]
+
+
+def test_posterior_matches_a_plain_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = q.judge(docs)
-    rows = got.select("votes", "p_good").collect()
-    model = q.fit(Counter(tuple(r.votes) for r in rows))
-    import math
-
-    for r in rows:
-        assert r.p_good == pytest.approx(1 / (1 + math.exp(-q.log_odds(model, tuple(r.votes)))), abs=1e-9)
+    rows = got.select("votes", "p_good", "base_failed", "kept").collect()
+    want = plain_em([tuple(r.votes) for r in rows], list(q.EXPECTED_WRONG.values()))
+    assert [r.p_good for r in rows] == pytest.approx(want, abs=1e-4)
+    assert [r.kept for r in rows] == [not r.base_failed and p >= 0.5 for r, p in zip(rows, want)]
     assert sorted(r.doc_id for r in got.where("kept").collect()) == sorted(r.doc_id for r in q.keep_good(docs).collect())
 
 
-def test_em_finds_rules_accuracy():
-    import random
+def simulated(n=20_000):
+    """Votes of two telling rules, a pair that fires together, and a weak rule that calls a tenth of all documents bad."""
+    r, counts, truth = random.Random(1), Counter(), Counter()
+    for _ in range(n):
+        kind = r.choices(["good", "a", "b", "pair"], [0.8, 0.06, 0.06, 0.08])[0]
+        chance = {"good": (0.002, 0.002, 0.002, 0.002, 0.04), "a": (0.9, 0.01, 0.01, 0.01, 0.04), "b": (0.01, 0.9, 0.01, 0.01, 0.04), "pair": (0.01, 0.01, 0.9, 0.9, 0.04)}[kind]
+        votes = tuple(0 if r.random() < 0.1 else -1 if r.random() < c else 1 for c in chance)
+        counts[votes] += 1
+        truth[votes, kind == "good"] += 1
+    return counts, truth
+
+
+def test_em_finds_the_classes():
+    counts, truth = simulated()
+    model = q.fit(counts, (0.005, 0.005, 0.005, 0.005, 0.05))
+    assert model.prior == pytest.approx(0.8, abs=0.05)
+    assert [round(model.bad[k + 1][k], 1) for k in range(3)] == [0.9, 0.9, 0.9]
+    right = sum(n for (p, good), n in truth.items() if good == (q.class_chances(model, p)[0] >= 0.5))
+    assert right >= 0.97 * sum(truth.values())
+
+
+def test_a_weak_rule_is_outvoted_and_a_telling_one_is_not():
+    model = q.fit(simulated()[0], (0.005, 0.005, 0.005, 0.005, 0.05))
+    good = lambda *p: q.class_chances(model, p)[0]
+    assert good(1, 1, 1, 1, -1) > 0.9 and good(1, 1, 1, 0, -1) > 0.5  # all-must-pass would reject both
+    assert good(-1, 1, 1, 1, 1) < 0.1 and good(1, -1, 1, 1, -1) < 0.1 and good(1, 1, -1, -1, 1) < 0.01
+    counts, _ = simulated()
+    twice = q.fit({p: 7 * n for p, n in counts.items()}, (0.005, 0.005, 0.005, 0.005, 0.05))
+    assert twice.share == pytest.approx(model.share)  # alike at every size
+
 
-    r = random.Random(1)
-    counts = Counter()
-    for _ in range(20_000):
-        good = r.random() < 0.8
-        vote = lambda right, wrong: (1 if r.random() > wrong else -1) if good else (-1 if r.random() < right else 1)
-        counts[tuple(vote(a, 0.001) if r.random() < 0.9 else 0 for a in (0.9, 0.6, 0.7))] += 1
-    model = q.fit(counts)
-    assert model.prior == pytest.approx(0.8, abs=0.02)
-    assert [round(x, 1) for x in model.right] == [0.9, 0.6, 0.7]
+def test_documents_with_an_outvoted_bad_vote_are_not_rejected_by_the_posterior(spark):
+    got = q.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    voted = got.where("array_contains(array(" + ", ".join(f"votes.{k}" for k in q.RULES) + "), -1)")
+    n = {r.ok: r["count"] for r in voted.groupBy((F.col("p_good") >= 0.5).alias("ok")).count().collect()}
+    assert n[True] >= 100 and n[False] >= 1000
 
 
 def test_verdicts_agree_with_labels(spark):
