@@ -85,7 +85,7 @@ def test_em_finds_the_classes():
     counts, truth = simulated()
     model = q.fit(counts, (0.005, 0.005, 0.005, 0.005, 0.05))
     assert model.prior == pytest.approx(0.8, abs=0.05)
-    assert [round(model.bad[k + 1][k], 1) for k in range(3)] == [0.9, 0.9, 0.9]
+    assert all(model.bad[k + 1][k] > 0.6 and model.bad[0][k] < 0.01 for k in range(4))
     right = sum(n for (p, good), n in truth.items() if good == (q.class_chances(model, p)[0] >= 0.5))
     assert right >= 0.97 * sum(truth.values())
 
