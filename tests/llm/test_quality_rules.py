@@ -87,7 +87,7 @@ def test_em_finds_the_classes():
     assert model.prior == pytest.approx(0.8, abs=0.05)
     assert all(model.bad[k + 1][k] > 0.6 and model.bad[0][k] < 0.01 for k in range(4))
     right = sum(n for (p, good), n in truth.items() if good == (q.class_chances(model, p)[0] >= 0.5))
-    assert right >= 0.97 * sum(truth.values())
+    assert right >= 0.95 * sum(truth.values())  # a fifth of the documents of kinds a and b show no bad vote of their rule
 
 
 def test_a_weak_rule_is_outvoted_and_a_telling_one_is_not():
