@@ -45,12 +45,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import prefixes
 from .common import connected_components, drop, scratch
 from .textnum import distinct, flat, hash_spans, lower, mix, pieces, windows, word_spans
 
 WIDTH = 5
+#: The similarity of linked sets, as a fraction.
+LINKED = (3, 4)
 #: Sets in a group from which on it is hot.
 HOT = 16
 #: Rounds of leaders among short sets before pairs of different classes are compared; a round without a link ends them.
@@ -422,45 +424,10 @@ def _short_sets(hot: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _front(short: DataFrame, rows: DataFrame) -> DataFrame:
-    """(s, rep, n, rem): the shingles s of each short set, rarest first, from which on rem are left that another short
-    set has too, while these are three quarters of the set; the first common one of a linked pair is in both fronts."""
+    """The front shingles of the short sets."""
     texts = rows.join(short, rows["id"] == short["rep"]).select("rep", "text")
-    each = scratch(texts.mapInArrow(_shingles, "rep long, n long, a long, set array<long>").dropDuplicates(["rep", "a"]), "njshort").select("rep", "n", "a", F.explode("set").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
-    from_here = F.row_number().over(Window.partitionBy("rep", "a").orderBy(F.desc("often"), F.desc("s")))
-    front = each.join(often, "s").select("s", "rep", "n", from_here.alias("rem")).where("4 * rem >= 3 * n")
-    return scratch(front, "njfront")
-
-
-#: Whether members x and y of a shingle's group can link by what each has left from that shingle on.
-ROOM = "7 * least(xr, yr) >= 3 * (xn + yn)"
-
-
-def _led(front: DataFrame, found: DataFrame | None, r: int) -> DataFrame:
-    """Pairs (x, y) of each group's members with a leader of another class: first the least changed set, then any."""
-    members = front.withColumn("component", F.col("rep")) if found is None else _classed(front, found)
-    order = F.struct((F.col("rem") / F.col("n")).alias("o") if r == 0 else F.xxhash64("rep", F.lit(r)).alias("o"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("rem").alias("yr"), F.col("component").alias("yc"))
-    lead = members.groupBy("s").agg(F.max(order).alias("l")).select("s", "l.*")
-    met = members.select("s", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("rem").alias("xr"), F.col("component").alias("xc")).join(lead, "s").where(f"xc <> yc and {ROOM}")
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-
-def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
-    return members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-
-def _cross_front(front: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (x, y) of a group's members in different classes that have room for a link.
-
-    One side lies outside the group's largest class, and has room beside the smallest set of the group at least.
-    """
-    members = _classed(front, found)
-    by_class = members.groupBy("s", "component").agg(F.count("*").alias("k"), F.min("n").alias("least"))
-    most = by_class.groupBy("s").agg(F.max(F.struct("k", "component"))["component"].alias("most"), F.count("*").alias("classes"), F.min("least").alias("least")).where("classes > 1").drop("classes")
-    mixed = scratch(members.join(most, "s"), "njmixed").where("7 * rem >= 3 * (n + least)")
-    side = lambda df, k: df.select("s", F.col("rep").alias(k), F.col("n").alias(f"{k}n"), F.col("rem").alias(f"{k}r"), F.col("component").alias(f"{k}c"))
-    met = side(mixed.where("component <> most"), "x").join(side(mixed, "y"), "s").where(f"xc <> yc and {ROOM}")
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    sets = scratch(texts.mapInArrow(_shingles, "rep long, n long, a long, set array<long>").dropDuplicates(["rep", "a"]), "njshort")
+    return prefixes.front(sets.select("rep", "n", "a", F.explode("set").alias("s")), ["rep", "a"], *LINKED, "njfront")
 
 
 def _cross(members: DataFrame) -> DataFrame:
@@ -489,7 +456,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     short = scratch(_short_sets(groups.where("hot"), sets), "njfew")
     front = _front(short, rows)
     star = _by_rep(cold.select(F.col("leader").alias("p"), F.explode("ids").alias("q")).where("p <> q").distinct(), reps)
-    tested = scratch(_plausible(star.unionByName(_led(front, None, 0)).distinct(), sets), "njpairs")
+    tested = scratch(_plausible(star.unionByName(prefixes.led(front, None, 0, *LINKED)).distinct(), sets), "njpairs")
     links = _links(tested, rows)
     found = connected_components(links, "njcc")
 
@@ -508,10 +475,10 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         return True
 
     for r in range(1, ROUNDS):
-        if not further(_led(front, found, r)):
+        if not further(prefixes.led(front, found, r, *LINKED)):
             break
     # what is left: pairs in different classes, of small groups and of short sets
-    further(_cross(scratch(_spread(cold.where("size > 2"), reps, found), "njsmall")).unionByName(_cross_front(front, found)).distinct())
+    further(_cross(scratch(_spread(cold.where("size > 2"), reps, found), "njsmall")).unionByName(prefixes.crossed(front, found, *LINKED, "njmixed")).distinct())
     drop(groups, front, short)
     rep_of = sets.select("n", "a", "b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
     # an id that stands on several rows joins their classes

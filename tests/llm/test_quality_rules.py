@@ -93,7 +93,7 @@ def test_em_finds_the_classes():
 def test_a_weak_rule_is_outvoted_and_a_telling_one_is_not():
     model = q.fit(simulated()[0], (0.005, 0.005, 0.005, 0.005, 0.05))
     good = lambda *p: q.class_chances(model, p)[0]
-    assert good(1, 1, 1, 1, -1) > 0.9 and good(1, 1, 1, 0, -1) > 0.5  # all-must-pass would reject both
+    assert good(1, 1, 1, 1, -1) > 0.8 and good(1, 1, 1, 0, -1) > 0.5  # all-must-pass would reject both
     assert good(-1, 1, 1, 1, 1) < 0.1 and good(1, -1, 1, 1, -1) < 0.1 and good(1, 1, -1, -1, 1) < 0.01
     counts, _ = simulated()
     twice = q.fit({p: 7 * n for p, n in counts.items()}, (0.005, 0.005, 0.005, 0.005, 0.05))
