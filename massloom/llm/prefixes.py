@@ -11,8 +11,6 @@ demand that what is left of both allows a link.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,21 +29,6 @@ def front(each: DataFrame, keys: list[str], num: int, den: int, name: str) -> Da
     return scratch(out, name)
 
 
-def front_by_cells(sets: DataFrame, cells: int, num: int, den: int, name: str) -> DataFrame:
-    """front() of (rep, set), row by row: the order is by how often shingles of the same cell occur, counted over all sets
-    in a table of fixed size that every row looks up. Any order gives the same links; rem counts all shingles left."""
-    cell = lambda s: F.pmod(s, F.lit(cells)).cast("int")
-    counts = [0] * cells
-    for r in sets.select(F.explode("set").alias("s")).groupBy(cell(F.col("s")).alias("i")).count().toLocalIterator():  # cells rows at most
-        counts[r["i"]] = r["count"]
-    table = F.from_json(F.lit(json.dumps(counts)), "array<bigint>")
-    ordered = F.sort_array(F.transform("set", lambda s: F.struct(F.get(table, cell(s)).alias("often"), s.alias("s"))))
-    rows = sets.select("rep", F.size("set").cast("long").alias("n"), ordered.alias("set"))
-    kept = F.slice("set", F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
-    out = rows.select("rep", "n", F.posexplode(kept).alias("i", "e")).select("e.s", "rep", "n", (F.col("n") - F.col("i")).alias("rem"))
-    return scratch(out, name)
-
-
 def _room(num: int, den: int) -> str:
     return f"{num + den} * least(xr, yr) >= {num} * (xn + yn)"
 

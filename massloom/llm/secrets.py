@@ -4,9 +4,11 @@ Base patterns find assignments of long values to telling names, access key ids a
 what patterns miss: it reads a text as source or configuration (names, strings, numbers, operators, comments), makes
 name-literal pairs from assignments (name = "x", name: x, "name": "x", key "x" => ...), joins adjacent and added string
 literals, propagates constants (b = a gives b the literal of a, in order of the text), and scores each literal by how
-sensitive its target's name is and how random the literal looks. Pairs of score SCORE or more become spans of kind lexed.
+sensitive its target's name is and how random the literal looks. A value that several parts build up keeps the places of
+all of them, by reference, so that constants that double do not; its look is judged by its first VALUE characters. Pairs of score SCORE or more become spans of kind lexed.
 
-Edge cases: a null text is empty; repeated rows are scanned alike; names that clash don't matter, only id and text are
+Edge cases: a null text is empty; repeated rows are scanned alike; spans that begin alike stand in the order of KINDS;
+an unclosed comment is read as text, very long texts in time proportional to their length; names that clash don't matter, only id and text are
 read; an empty table gives an empty result. Texts are read whole; a text without any trigger costs one search.
 """
 
@@ -34,10 +36,12 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "sec
 HARMLESS = {"public", "count", "length", "size", "max", "min", "limit", "name", "id", "type", "file", "path", "url", "expires", "ttl", "timeout", "hint", "label", "field", "column", "policy", "regex", "pattern"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|change.?me|your.*|example.*|test|dummy|none|null|true|false|todo|password|secret|token)$")
 SCORE = 1.0
+#: Characters of a value put together from several parts that its look is judged by.
+VALUE = 4096
 
 TRIGGER = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|signature|cookie|session|salt")
 LEX = re.compile(
-    r"""(?P<comment>//[^\n]*|\#(?!\{)[^\n]*|/\*.*?\*/)"""
+    r"""(?P<comment>//[^\n]*|\#(?!\{)[^\n]*)|(?P<open>/\*)"""
     r"""|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
     r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)"""
     r"""|(?P<number>\d[\w.]*)"""
@@ -92,13 +96,21 @@ def score(name: str, literal: str) -> float:
 
 
 def tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
-    for m in LEX.finditer(text):
-        if m.lastgroup not in ("comment", "other"):
+    at, last = 0, text.rfind("*/")
+    while m := LEX.match(text, at):
+        at = m.end()
+        if m.lastgroup == "open":
+            if at <= last:  # a comment that ends; else its two signs are text
+                at = text.index("*/", at) + 2
+        elif m.lastgroup not in ("comment", "other"):
             yield m.lastgroup, m[0], m.start(), m.end()
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of the text's assignments in order; constants stand for the literals they hold."""
+def pairs(text: str) -> list[tuple[str, str, list]]:
+    """(name, literal, sources) of the text's assignments in order; constants stand for the literals they hold.
+
+    sources are spans (start, end) and, for constants, the lists of their own sources: see spans_of().
+    """
     out, known = [], {}
     toks = list(tokens(text))
     for i, (kind, value, _, _) in enumerate(toks):
@@ -112,21 +124,24 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
             continue
         if i + 2 >= len(toks) or toks[i + 1][1] not in ("=", ":", ":=", "=>"):
             continue
-        j, literal, spans, end = i + 2, "", [], -1
+        j, literal, sources, end = i + 2, "", [], -1
         while j < len(toks):
             k, v, a, b = toks[j]
             if k == "string":
-                part, where = v[1:-1], [(a, b)]
+                part, where, to = v[1:-1], (a, b), b
             elif k == "name" and v in known and not (j + 1 < len(toks) and toks[j + 1][1] in ("=", ":", "(")):
                 part, where = known[v]
-            elif k in ("name", "number") and not spans:
+                to = b
+            elif k in ("name", "number") and not sources:
                 part = BARE.match(text, a)[0]  # an unquoted value of a configuration file
-                where = [(a, a + len(part))]
+                where, to = (a, a + len(part)), max(b, a + len(part))
                 if part[-1] in ":=":  # the next pair's name
                     break
             else:
                 break
-            literal, spans, end = literal + part, spans + where, max(b, where[-1][1] if where[0][0] == a else b)
+            literal = (literal + part)[:VALUE] if sources else part
+            sources.append(where)
+            end = to
             j += 1
             while j < len(toks) and toks[j][2] < end:
                 j += 1
@@ -134,9 +149,22 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
                 j += 1
             elif not (j < len(toks) and toks[j][0] == "string" and k == "string"):
                 break
-        if spans:
-            known[name] = (literal, spans)
-            out += [(name, literal, a, b) for a, b in spans]
+        if sources:
+            known[name] = (literal, sources)
+            out.append((name, literal, sources))
+    return out
+
+
+def spans_of(sources: list, seen: set[int]) -> list[tuple[int, int]]:
+    """The spans of sources and of all that they refer to; what is in seen, by identity, was given before."""
+    out, left = [], [sources]
+    while left:
+        now = left.pop()
+        if isinstance(now, tuple):
+            out.append(now)
+        elif id(now) not in seen:
+            seen.add(id(now))
+            left += now
     return out
 
 
@@ -159,10 +187,11 @@ def lexed_spans(text: str) -> list[Span]:
         i = bisect.bisect_right(ends, p) - 1
         return p - ends[i] + places[i]
 
-    out = []
-    for name, literal, a, b in pairs(whole):
+    out, seen = [], set()
+    found = pairs(whole)
+    for name, literal, sources in found:
         if score(name, literal) >= SCORE:
-            out.append(("lexed", back(a), back(b - 1) + 1))
+            out += [("lexed", back(a), back(b - 1) + 1) for a, b in spans_of(sources, seen)]
     return sorted(set(out), key=order)
 
 

@@ -1,6 +1,7 @@
 """Pieces, token files and secrets against libraries and brute force."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -194,4 +195,26 @@ def test_lexing(text, literals):
 
 def test_redaction():
     assert secrets.redact(None) is None
-    assert secrets.redact('x token = "abcdefgh1234" y') == 'x [secret]" y' or "abcdefgh" not in secrets.redact('x token = "abcdefgh1234" y')
+    assert secrets.redact('x token = "abcdefgh1234" y') == "x [secret] y"
+    assert secrets.redact('db_pwd = "Zx9Qp2Lm8Rt5"; title = "Zx9Qp2Lm8Rt5"') == 'db_pwd = [secret]; title = "Zx9Qp2Lm8Rt5"'
+
+
+def test_constants_that_double_stay_bounded():
+    text = 'a0 = "Zx9Qp2Lm8Rt5"\n' + "\n".join(f"a{k + 1} = a{k} + a{k}" for k in range(200)) + "\napi_secret = a200\n"
+    began = time.time()
+    spans = secrets.lexed_spans(text)
+    assert [text[a:b] for _, a, b in spans] == ['"Zx9Qp2Lm8Rt5"'] and time.time() - began < 2
+    wide = "\n".join(f'k{i} = "Zx9Qp2Lm8Rt{i}"' for i in range(300)) + "\nclient_secret = " + " + ".join(f"k{i}" for i in range(300))
+    assert len(secrets.lexed_spans(wide)) == 300
+    chain = 'a0 = "Zx9Qp2Lm8Rt5"\n' + "\n".join(f'a{k + 1} = a{k} + "part{k}"' for k in range(3000)) + "\napi_secret = a3000\nclient_secret = a3000"
+    began = time.time()
+    assert len(secrets.lexed_spans(chain)) == 3001 and time.time() - began < 5
+
+
+def test_unclosed_comments_take_linear_time():
+    for text in ("/* token = 1\n" * 40_000, "token = /*" * 40_000, "/*" * 100_000 + " */ db_pwd = 'Zx9Qp2Lm8Rt5'"):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 5
+    assert secrets.lexed_spans("/* a = b */ db_pwd = 'Zx9Qp2Lm8Rt5' /* x") != []
+    assert secrets.lexed_spans("/* db_pwd = 'Zx9Qp2Lm8Rt5' */ token") == []
