@@ -1,17 +1,22 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements of the same format.
 
-Emails, phone numbers, card numbers, IPv4 addresses and titled or known person names are found by patterns. A surrogate
-comes from a keyed permutation (a Feistel network over the exact domain of the entity's format), so one entity has one
-surrogate everywhere (coreference) and two entities of a format have two (distinctness), with no table to share. Digits
-stay digits, letters keep case and script, Luhn-valid cards stay valid and others invalid, country codes and reserved
-domains stay, given names keep gender and script, and parts of a name map one by one, so a later surname still refers.
+Emails, phone numbers, card numbers, IPv4 addresses and person names are found by patterns: names after a title, with a
+known given name, after words that introduce one (my name is, signed, contact) or before an email address in
+brackets. A surrogate comes from a keyed permutation (a Feistel network over the exact domain of the entity's format), so
+one entity has one surrogate everywhere (coreference) and two entities of a format have two (distinctness), with no table
+to share. Digits stay digits, letters keep case and script, Luhn-valid cards stay valid and others invalid, country codes
+stay, and so do the domains reserved for examples; other domains change like their mailboxes, but for the last label.
+Given names keep gender and script, and parts of a name map one by one, so a later surname still refers.
 
 Collision checks make that hold over the whole corpus: the distinct entities are a distributed table; a surrogate that
-equals an original entity, or another entity's surrogate, is drawn again under the next tweak until none collides. The
-few entities with a later tweak reach their documents by a join; all others need none.
+equals an original entity, or another entity's surrogate, of any kind that is written alike, is drawn again until none
+collides. A draw takes the next tweak of the permutation; every TRIES tweaks the domain grows by a character (given names
+leave their list first), so that a corpus that uses a whole domain is served too; IPv4 addresses can't grow and may equal
+an original after TRIES draws, but never another's surrogate. Only entities that collide are drawn again.
 
 Edge cases: null and empty texts stay; repeated rows get the same surrogates; overlapping finds go to the earliest, then
-longest; an empty table gives an empty result; all other columns pass through, working columns are prefixed pii__.
+longest; of entities that draw one surrogate the least kind and value keeps it; very long texts are scanned whole; an
+empty table gives an empty result; all other columns pass through, working columns are prefixed pii__.
 """
 
 from __future__ import annotations
@@ -44,11 +49,19 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f
 _CAPITAL = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+"
 NAME = re.compile(rf"\b(?:({'|'.join(TITLES)})\.? +({_CAPITAL})(?: ({_CAPITAL}))?|({'|'.join(_GENDER)}) ({_CAPITAL}))(?!\w)")
 NAME_HINT = re.compile(rf"\b(?:{'|'.join(TITLES)})\b|\b(?:{'|'.join(_GENDER)}) ")
+#: Words that introduce a name, and names that an address in brackets follows.
+CUED = re.compile(rf"(?:\b(?:[Mm]y name is|[Nn]ame:|[Ss]igned,|[Ss]igned by|[Cc]ontact(?: person)?:|[Ss]incerely,|[Rr]egards,|[Aa]uthor:|[Aa]ttn:?)\s+({_CAPITAL})((?:[ -]{_CAPITAL}){{0,2}})|\b({_CAPITAL})((?: {_CAPITAL}){{1,2}})(?= ?[<(\[][^\s@<>()]+@))(?!\w)")
+CUE_HINT = re.compile(r"(?i)name is|name:|signed|contact|sincerely|regards|author:|attn|[<(\[][^\s@<>()]+@")
 
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))), "".join(map(chr, range(0x3B1, 0x3CA))))
 _CLASS = {c: x for x in CLASSES for c in x}
 RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|net|org)|example|test|invalid)$")
 
+#: Draws from a domain before it grows.
+TRIES = 3
+#: Entities drawn again that are sent to every worker; more of them reach their documents by a join.
+MAX_SENT = 200_000
+
 Entity = tuple[str, int, int, str]  # kind, start, end, canonical value
 
 
@@ -100,26 +113,39 @@ def _walk(value: str, step, ok) -> str:
 
 def surrogate(kind: str, value: str, key: bytes, tweak: int = 0) -> str:
     """The replacement of a canonical value, canonical itself."""
-    t = f"{kind}:{tweak}"
+    t, more = f"{kind}:{tweak}", tweak // TRIES
     if kind == "card":
         valid = luhn(value)
-        return _walk(value, lambda v: permute_text(v, key, t), lambda v: luhn(v) == valid)
+        grown = next(v for v in (_grown(value, more)[:-1] + d if more else value for d in "0123456789") if luhn(v) == valid)
+        return _walk(grown, lambda v: permute_text(v, key, t), lambda v: luhn(v) == valid)
     if kind == "ip":
         n = permute(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, key, t)
         return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "phone":
         code, _, rest = value.rpartition(":")
-        return f"{code}:{permute_text(rest, key, f'{t}:{code}')}"
+        return f"{code}:{permute_text(_grown(rest, more), key, f'{t}:{code}')}"
     if kind == "email":
         local, _, domain = value.rpartition("@")
-        return f"{permute_text(local, key, f'{t}:{domain}')}@{domain}"
-    if kind == "domain":
-        return permute_text(value, key, t)
+        return f"{permute_text(_grown(local, more), key, f'{t}:{domain}')}@{domain_surrogate(domain, key)}"
     if kind.startswith("given:"):
         _, script, gender = kind.split(":")
         names = GIVEN[script, gender]
-        return names[permute(names.index(value), len(names), key, t)] if value in names else permute_text(value, key, t)
-    return permute_text(value, key, t)
+        if value in names and not more:
+            return names[permute(names.index(value), len(names), key, t)]
+        return permute_text(_grown(value, more - 1), key, t)
+    return permute_text(_grown(value, more), key, t)
+
+
+def _grown(value: str, more: int) -> str:
+    """value with so many characters more, of the class of its last letter or digit."""
+    last = next((_CLASS[c] for c in reversed(value) if c in _CLASS), CLASSES[1])
+    return value + last[0] * max(0, more)
+
+
+def domain_surrogate(domain: str, key: bytes) -> str:
+    """A domain with its labels permuted but for the last; domains reserved for examples stay."""
+    head, _, last = domain.rpartition(".")
+    return domain if RESERVED.search(domain) else f"{permute_text(head, key, f'domain:{last}')}.{last}"
 
 
 def _script(name: str) -> str:
@@ -161,6 +187,12 @@ def detect(text: str | None) -> list[Entity]:
                 found.append((f"name:{_script(a)}", *first, a))
             if b:
                 found.append((f"name:{_script(b)}", *last, b))
+    if CUE_HINT.search(text):
+        for m in CUED.finditer(text):
+            for part in re.finditer(_CAPITAL, m[0][(m.start(1) if m[1] else m.start(3)) - m.start() :]):
+                at = (m.start(1) if m[1] else m.start(3)) + part.start()
+                kind = f"given:{_script(part[0])}:{_GENDER[part[0]][1]}" if part[0] in _GENDER else f"name:{_script(part[0])}"
+                found.append((kind, at, at + len(part[0]), part[0]))
     found.sort(key=lambda e: (e[1], -e[2]))
     out: list[Entity] = []
     for e in found:
@@ -183,7 +215,7 @@ def _in_format(kind: str, original: str, new: str) -> str:
                 out.append(c)
             else:
                 out.append(next(digits))
-        return "".join(out)
+        return "".join([*out, *digits])  # a grown domain has more
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new)) if len(original) == len(new) else new
     return new
@@ -229,58 +261,59 @@ def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select("kind", "value", "tweak").mapInArrow(run, "kind string, value string, tweak int, surrogate string")
 
 
+#: Entities written alike, among which surrogates must differ.
+SPACE = "CASE WHEN kind LIKE 'given:%' OR kind LIKE 'name:%' THEN 'name' ELSE kind END"
+
+
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """Surrogates of distinct entities (kind, value): kind, value, tweak, surrogate, where none collides.
 
-    A surrogate collides if it is an original of its kind, or if an entity with an earlier tweak or lesser value has it.
-    Each round draws the colliding ones again, a small and shrinking part; domains of one value (a single digit) can't
-    be freed, so an entity stops at tweak MAX_TWEAK.
+    A surrogate collides if it is an original of its space, or another entity's surrogate. Each round draws the colliding
+    entities again, a small and shrinking part, and looks their surrogates up among the originals and those accepted.
     """
-    # a kind's letter forms are all checked together: what a surrogate must not meet is text, not a kind
-    now = scratch(_drawn(entities.select("kind", "value", F.lit(0).alias("tweak")), key), "piidraw")
+    spaced = lambda df: df.withColumn("space", F.expr(SPACE))
+    originals = spaced(entities.select("kind", F.col("value").alias("surrogate"))).select("space", "surrogate").distinct()
+    accepted, pending = None, entities.select("kind", "value", F.lit(0).alias("tweak"))
     while True:
-        taken = now.withColumn("turn", F.row_number().over(_by_surrogate()))
-        originals = now.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("hit"))
-        checked = taken.join(originals, ["kind", "surrogate"], "left").withColumn("bad", (F.col("hit").isNotNull() | (F.col("turn") > 1)) & (F.col("tweak") < MAX_TWEAK))
-        checked = scratch(checked.select("kind", "value", "tweak", "surrogate", "bad"), "piicheck")
-        if checked.where("bad").isEmpty():
-            drop(now)
-            return checked.drop("bad")
-        again = _drawn(checked.where("bad").select("kind", "value", (F.col("tweak") + 1).alias("tweak")), key)
-        after = scratch(checked.where("not bad").drop("bad").unionByName(again), "piidraw")
-        drop(now, checked)
-        now = after
-
-
-MAX_TWEAK = 50
-
-
-def _by_surrogate():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("kind", "surrogate").orderBy("tweak", "value")
+        drawn = scratch(spaced(_drawn(pending, key)), "piidraw")
+        met = drawn.select("space", "surrogate").join(originals, ["space", "surrogate"], "left_semi").where(f"space <> 'ip' or {int(accepted is None)} = 1")
+        if accepted is not None:
+            met = met.unionByName(accepted.select("space", "surrogate").join(drawn.select("space", "surrogate"), ["space", "surrogate"], "left_semi"))
+        first = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "value")).alias("first"))
+        free = first.join(met.distinct(), ["space", "surrogate"], "left_anti")
+        checked = drawn.join(free, ["space", "surrogate"], "left").withColumn("ok", F.coalesce(F.col("first") == F.struct("kind", "value"), F.lit(False)))
+        checked = scratch(checked.select("space", "kind", "value", "tweak", "surrogate", "ok"), "piicheck")
+        drop(drawn)
+        fine = checked.where("ok").drop("ok")
+        accepted = fine if accepted is None else accepted.unionByName(fine)
+        pending = checked.where("not ok").select("kind", "value", (F.col("tweak") + 1).alias("tweak"))
+        if pending.isEmpty():
+            return accepted.drop("space")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with surrogates in the text, and pii__kinds, the kinds replaced, in order.
 
-    Surrogates are checked against all documents' entities; two passes detect, so that texts are never moved.
+    Surrogates are checked against all documents' entities; two passes detect, so that texts are not moved, unless more
+    than MAX_SENT entities were drawn again: then documents get theirs by a join on the id.
     """
     mentions = scratch(_mentions(docs.select(F.col(id_column).alias("pii__id"), F.col(text_column).alias("pii__text"))), "piimentions")
     given = assign(mentions.select("kind", "value").distinct(), key)
-    later = given.where("tweak > 0").select("kind", "value", "tweak")
-    if later.isEmpty():
-        rows = docs.withColumn("pii__tweaks", F.lit(None).cast("array<struct<kind:string,value:string,tweak:int>>"))
+    later = scratch(given.where("tweak > 0").select("kind", "value", "tweak"), "piilater")
+    sent, none = {}, F.lit(None).cast("array<struct<kind:string,value:string,tweak:int>>")
+    if later.count() <= MAX_SENT:
+        sent = {(r.kind, r.value): r.tweak for r in later.collect()}
+        rows = docs.withColumn("pii__tweaks", none)
     else:
         by_row = mentions.join(later, ["kind", "value"]).groupBy("pii__id").agg(F.collect_set(F.struct("kind", "value", "tweak")).alias("pii__tweaks"))
         rows = docs.join(by_row, docs[id_column].eqNullSafe(by_row["pii__id"]), "left").drop("pii__id")
-    names = rows.columns
+    names, shared = rows.columns, docs.sparkSession.sparkContext.broadcast(sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kinds = [], []
             for text, tweaks in zip(batch.column(text_column), batch.column("pii__tweaks")):
-                t = {(x["kind"], x["value"]): x["tweak"] for x in tweaks.as_py()} if tweaks.is_valid else None
+                t = {(x["kind"], x["value"]): x["tweak"] for x in tweaks.as_py()} if tweaks.is_valid else shared.value
                 new, k = replace(text.as_py(), key, t)
                 texts.append(new)
                 kinds.append(k)

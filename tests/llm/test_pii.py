@@ -57,3 +57,51 @@ def test_collisions_are_drawn_again(spark):
     texts = spark.createDataFrame([(1, "a@x.example.com b@x.example.com c@x.example.com"), (2, "A@x.example.com")], "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.pseudonymise(texts, KEY).collect()}
     assert len(set(out[1].split())) == 3 and out[2].lower() == out[1].split()[0]
+
+
+def test_domains_change_but_for_reserved_ones():
+    out = pii.replace("jane.roe@acme-corp.com and joe@acme-corp.com, x@example.com", KEY)[0]
+    a, b, c = re.findall(r"\S+@([\w.-]+\w)", out)
+    assert a == b != "acme-corp.com" and re.fullmatch(r"[a-z]{4}-[a-z]{4}\.com", a) and c == "example.com"
+
+
+def test_names_beyond_the_list():
+    for text, names in (
+        ("My name is José Álvarez and I live here.", ["José", "Álvarez"]),
+        ("Signed, Priya Patel", ["Priya", "Patel"]),
+        ("Contact: Wei Chen", ["Wei", "Chen"]),
+        ("Write to Olu Adeyemi <olu@work.org> today", ["Olu", "Adeyemi"]),
+    ):
+        found = [text[a:b] for k, a, b, _ in pii.detect(text) if k.startswith(("name", "given"))]
+        assert found == names
+        assert not any(n in pii.replace(text, KEY)[0] for n in names)
+    assert pii.detect("The Great Wall and the Old Town. Contact us: soon.") == []
+
+
+def brute(entities):
+    """Surrogates by rounds over a plain table."""
+    space = lambda k: "name" if k.startswith(("given:", "name:")) else k
+    old, out, left, turn = {(space(k), v) for k, v in entities}, {}, sorted(entities), 0
+    while left:
+        again, taken, fresh = [], {(space(k), s) for (k, _), (_, s) in out.items()}, {}
+        for k, v in left:
+            s = (space(k), pii.surrogate(k, v, KEY, turn))
+            if (s in old and (turn == 0 or space(k) != "ip")) or s in taken or s in fresh:
+                again.append((k, v))
+            else:
+                fresh[s] = (k, v)
+        out |= {e: (turn, s[1]) for s, e in fresh.items()}
+        left, turn = again, turn + 1
+    return out
+
+
+def test_whole_domains_are_served(spark):
+    """Every name of a list, every digit and every letter: surrogates differ from each other and from all originals."""
+    entities = [("given:latin:f", n) for n in pii.GIVEN["latin", "f"]] + [("given:cyrillic:m", n) for n in pii.GIVEN["cyrillic", "m"]]
+    entities += [("domain", str(i)) for i in range(10)] + [("email", f"{c}@x.example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    entities += [("name:latin", n) for n in ("Smith", "Lee", "Alba", "Vera Cruz")] + [("phone", f"1:{i:09d}") for i in range(30)] + [("ip", f"10.0.0.{i}") for i in range(30)] + [("card", f"411111111111{i:04d}") for i in range(30)]
+    got = {(r.kind, r.value): (r.tweak, r.surrogate) for r in pii.assign(spark.createDataFrame(entities, "kind string, value string"), KEY).collect()}
+    assert got == brute(entities)
+    new = [(k[:4], s) for (k, _), (_, s) in got.items()]
+    assert len(set(new)) == len(entities) and not {s for (k, _), (_, s) in got.items() if k != "ip"} & {v for k, v in entities if k != "ip"}
+    assert all(pii.luhn(s) == pii.luhn(v) for (k, v), (_, s) in got.items() if k == "card")
