@@ -1,11 +1,16 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, SentencePiece ids.
 
 Every stage but the last takes and returns the columns of documents, and works on all that its predecessor kept.
+
+Edge cases, the same in all stages: null, empty and blank texts go with the quality rules or have no piece; repeated rows
+are treated alike; a null id is never a copy of another; very long texts are read whole; other columns pass through, and
+names that clash with working columns do not matter; ties go to the least id, then line; empty tables give empty ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massloom.llm import decontaminate, line_dedup, ngram_join, pieces, quality_rules
 from massloom.session import reach_workers
@@ -17,8 +22,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of which an earlier document, or line, has a copy or near copy."""
-    return line_dedup.dedup(docs)
+    """Documents without the lines of which an earlier document, or line, has a copy or near copy.
+
+    Those without a word left, all of whose lines stand elsewhere, go.
+    """
+    return line_dedup.dedup(docs).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

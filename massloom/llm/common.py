@@ -17,23 +17,28 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); where that is unset, as in tests, one of our own."""
+    """The shared folder of the cluster (spark.checkpoint.dir); where that is unset on a local master, as in tests, one of
+    our own. A cluster without the setting is refused: a folder of the driver's machine would lose what others write."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         base = "file://" + tempfile.mkdtemp(prefix="massloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         _written.append((spark, base))
     return base.rstrip("/")
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs a re-read.
 
-    The table goes when the driver ends, or earlier by drop().
+    by: a column of few values to part the files by. The table goes when the driver ends, or earlier by drop(); if the
+    driver is killed, it stays in the shared folder, under a name that no other run reads.
     """
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -122,10 +122,13 @@ RULES = {
 
 #: The share of good documents that each rule is expected to call bad.
 EXPECTED_WRONG = {"symbols": 0.003, "capitals": 0.02, "shouting": 0.005, "repeats": 0.003, "same_lines": 0.01, "word_length": 0.05, "closed_lines": 0.05, "length": 0.05}
-#: Weights of the priors, in documents for each document seen: of EXPECTED_WRONG, and of what a bad kind is like.
-TRUST, KIND = 0.1, 0.0005
+#: Weights of the priors: of EXPECTED_WRONG and of the classes' shares, in documents for each document seen; of what a bad
+#: kind is like for other rules, in documents for each document of the kind, so that no kind comes to mimic good documents.
+TRUST, KIND = 0.1, 0.02
 #: Prior chances of a bad vote on a document of a bad kind: by the kind's own rule, and by any other.
 OWN_BAD, OTHER_BAD = 0.9, 0.2
+#: Prior share of good documents; the kinds divide the rest.
+GOOD = 0.8
 
 
 @dataclass(frozen=True)
@@ -154,10 +157,10 @@ def fit(counts: dict[tuple[int, ...], int], wrong: tuple[float, ...] | None = No
     wrong = wrong or tuple(EXPECTED_WRONG.values())
     total = max(1, sum(counts.values()))
     means = _expected(n_rules, wrong)
-    weights = [TRUST * total, *[KIND * total] * n_rules]
-    model = VoteModel((0.8, *[0.2 / n_rules] * n_rules), tuple(map(tuple, means)))
+    shares = [GOOD, *[(1 - GOOD) / n_rules] * n_rules]
+    model = VoteModel(tuple(shares), tuple(map(tuple, means)))
     for _ in range(rounds):
-        mass = [KIND * total] * (n_rules + 1)
+        mass = [0.0] * (n_rules + 1)
         seen = [[[0.0, 0.0] for _ in range(n_rules)] for _ in range(n_rules + 1)]
         for p, n in counts.items():
             for c, chance in enumerate(class_chances(model, p)):
@@ -165,8 +168,10 @@ def fit(counts: dict[tuple[int, ...], int], wrong: tuple[float, ...] | None = No
                 for j, v in enumerate(p):
                     if v:
                         seen[c][j][v > 0] += chance * n
+        weights = [TRUST * total, *[KIND * m + 1e-6 for m in mass[1:]]]
         bad = tuple(tuple((x[0] + w * m) / (x[0] + x[1] + w) for x, m in zip(row, mean)) for row, w, mean in zip(seen, weights, means))
-        before, model = model, VoteModel(tuple(m / sum(mass) for m in mass), bad)
+        all_mass = [m + TRUST * total * s for m, s in zip(mass, shares)]
+        before, model = model, VoteModel(tuple(m / sum(all_mass) for m in all_mass), bad)
         if max(abs(x - y) for x, y in zip(before.share, model.share)) < 1e-10:
             break
     return model

@@ -29,6 +29,18 @@ def test_empty_tables(spark, none_dir, name):
     assert llm.queries()[name](spark, none_dir).count() == 0
 
 
+def test_odd_and_empty_pages(spark, tmp_path):
+    rows = [(1, None), (2, ""), (None, "http://a.com/en/1"), (3, "http://a.com/en/1"), (3, "http://a.com/en/1"), (4, "http://" + "x" * 100_000 + ".net/de/" + "y" * 100_000), (5, "no host"), (6, "://"), (7, "http://Ü.org/es/\n")]
+    pages = spark.createDataFrame([(i, u, "k", True, "h", "p") for i, u in rows], "page_id long, url string, key string, listed boolean, host string, path string")
+    pages.write.parquet(f"{tmp_path}/odd/pages.parquet")
+    pages.where("false").write.parquet(f"{tmp_path}/none/pages.parquet")
+    query = llm.queries()["op10_url_filters"]
+    got = query(spark, f"{tmp_path}/odd").collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(i) for i, _ in rows)
+    assert {r.page_id: r.verdict for r in got} == {1: "allow", 2: "allow", None: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "block"}
+    assert query(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages(spark, odd, none, odd_dir, none_dir, name, stage):
     keep = ["doc_id", "text", "lang", "source", "n_chars"]
