@@ -81,7 +81,7 @@ def formula_parts(formula: Column) -> Column:
     parts = F.zip_with(els, counts, lambda e, n: F.struct(e.alias("el"), F.when(n == "", F.lit(1)).otherwise(n.try_cast("int")).alias("n")))
     known = F.array(*map(F.lit, ELEMENTS))
     good = F.forall(parts, lambda p: F.array_contains(known, p["el"]) & F.coalesce(p["n"] > 0, F.lit(False)))
-    return F.when(formula.rlike("^([A-Z][a-z]?[0-9]*)+$") & good, parts)
+    return F.when(formula.rlike("\\A([A-Z][a-z]?[0-9]*)+\\z") & good, parts)
 
 
 def formula_composition(formula: Column) -> Column:
@@ -144,7 +144,7 @@ def is_approved(names: Column, approved=APPROVED) -> Column:
 
 def inchikey14(key: Column) -> Column:
     """The skeleton part of a full key; null if it has not the shape of one."""
-    return F.when(key.rlike("^.{14}-.{10}-.$"), F.substring(key, 1, 14))
+    return F.when(key.rlike("\\A.{14}-.{10}-.\\z"), F.substring(key, 1, 14))
 
 
 def first_property(*values: Column) -> Column:

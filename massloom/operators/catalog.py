@@ -94,7 +94,7 @@ def read_bucketed(assets: DataFrame, formulas: list[str], formula: str, key: str
         if missing:
             raise KeyError(f"formulas without a bucket: {missing}")
     places = sorted({r[0] for r in wanted.select(bucket(F.col(formula), buckets)).collect()})
-    return assets.where(F.col("bucket").isin(places)).join(F.broadcast(wanted), formula, "left_semi").dropDuplicates([formula, key])
+    return assets.where(F.col("bucket").isin(places)).join(F.broadcast(wanted), formula, "left_semi").transform(lambda df: dedupe_first(df, [formula, key], [F.asc_nulls_last(c) for c in df.columns if c not in (formula, key)] or [F.asc(key)]))
 
 
 def collection_counts(names: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

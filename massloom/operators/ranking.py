@@ -1,6 +1,6 @@
 """Ranking policies: hybrid candidates, tiers, fusions, collapses, calibration, neighbour priors, submissions.
 
-Scores that don't exist are nulls and sort last; every order ends in a candidate key, so it is total.
+Scores that don't exist, are NaN or infinite are nulls and sort last; every order ends in a candidate key, so it is total.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import finite
 from .relational import average_percentile, dedupe_first
 
 RRF_K = 60
@@ -20,7 +21,7 @@ def _rank(by: list[str], *order: Column) -> Column:
 
 def top_candidates(scores: DataFrame, query: str, candidate: str, k: int, score: str = "score") -> DataFrame:
     """The k best finite scores of each query with spectral_rank."""
-    ok = scores.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")))
+    ok = scores.where(finite(F.col(score)).isNotNull())
     return ok.withColumn("spectral_rank", _rank([query], F.desc(score), F.asc(candidate))).where(F.col("spectral_rank") <= k)
 
 
@@ -41,7 +42,7 @@ def candidate_features(hybrid: DataFrame, full: DataFrame, restricted: DataFrame
 
 def rank_by_cosine(features: DataFrame, query: str, candidate: str) -> DataFrame:
     """Policy 3a: all sources together by full cosine."""
-    return features.withColumn("rank", _rank([query], F.desc_nulls_last("same_polarity_cosine"), F.asc(candidate)))
+    return features.withColumn("rank", _rank([query], finite(F.col("same_polarity_cosine")).desc_nulls_last(), F.asc(candidate)))
 
 
 def rank_by_tier(features: DataFrame, query: str, candidate: str, own_scores: bool = True) -> DataFrame:
@@ -54,7 +55,7 @@ def rank_by_tier(features: DataFrame, query: str, candidate: str, own_scores: bo
     fallback = F.coalesce(F.col("fallback"), F.lit(False)) if "fallback" in features.columns else F.lit(False)
     key = F.when(fallback, 0).otherwise(tier)
     value = F.when(fallback, F.col("same_polarity_cosine")).otherwise(score)
-    return features.withColumn("tier", tier).withColumn("rank", _rank([query], F.asc_nulls_last(key), F.desc_nulls_last(value), F.asc(candidate)))
+    return features.withColumn("tier", tier).withColumn("rank", _rank([query], F.asc_nulls_last(key), finite(value).desc_nulls_last(), F.asc(candidate)))
 
 
 def promote_spectral_first(ranked: DataFrame, query: str, candidate: str) -> DataFrame:
@@ -108,7 +109,7 @@ def collapse(candidates: DataFrame, query: str, candidate: str, policy: str, pen
 def calibrate(ranked: DataFrame, distances: DataFrame, spec: str, rank: str, distance: str) -> DataFrame:
     """ranked with calibrated_distance: the distance at the same place of the spec's sorted distances, the last beyond."""
     n = Window.partitionBy(spec)
-    places = distances.where(F.col(distance).isNotNull()).select(spec, F.col(distance).alias("calibrated_distance"), F.row_number().over(n.orderBy(distance)).alias("_place"), F.count("*").over(n).alias("_n"))
+    places = distances.where(finite(F.col(distance)).isNotNull()).select(spec, F.col(distance).alias("calibrated_distance"), F.row_number().over(n.orderBy(distance)).alias("_place"), F.count("*").over(n).alias("_n"))
     sizes = places.where("_place = 1").select(spec, "_n")
     named = ranked.join(sizes, spec).withColumn("_place", F.least(F.col(rank), F.col("_n")).cast("int")).drop("_n")
     return named.join(places.drop("_n"), [spec, "_place"]).drop("_place")
@@ -116,7 +117,7 @@ def calibrate(ranked: DataFrame, distances: DataFrame, spec: str, rank: str, dis
 
 def final_scores(ranked: DataFrame, molecule: str, candidate: str, ppm: str, penalty: float = MASS_PENALTY) -> DataFrame:
     """-distance - penalty * |ppm|, the best of each candidate over hypotheses, ranked by molecule."""
-    scored = ranked.withColumn("final_score", -F.col("calibrated_distance") - penalty * F.abs(ppm))
+    scored = ranked.withColumn("final_score", finite(-F.col("calibrated_distance") - penalty * F.abs(ppm)))
     best = dedupe_first(scored, [molecule, candidate], [F.desc_nulls_last("final_score"), *[F.asc_nulls_last(c) for c in ("hypothesis_spec",) if c in ranked.columns]])
     return best.withColumn("rank", _rank([molecule], F.desc_nulls_last("final_score"), F.asc(candidate)))
 
@@ -132,7 +133,7 @@ def neighbor_prior(candidates: DataFrame, neighbors: DataFrame, query: str, cand
 
     The two tables join on the query; similarity is an expression over both.
     """
-    pairs = candidates.join(neighbors, query).withColumn("_s", similarity * F.greatest(F.col("spectral_score"), F.lit(0.0)))
+    pairs = candidates.join(neighbors, query).withColumn("_s", finite(similarity * F.greatest(finite(F.col("spectral_score")), F.lit(0.0))))
     out = pairs.groupBy(query, candidate).agg(F.max("_s").alias("prior"), F.countDistinct("neighbor").alias("usable_neighbors"))
     return out.withColumn("prior_rank", _rank([query], F.desc_nulls_last("prior"), F.asc(candidate)))
 

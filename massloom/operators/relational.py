@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import finite
+
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = sorted(set(names) - set(df.columns))
@@ -55,14 +57,14 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def deterministic_rank(df: DataFrame, keys: list[str], score: Column, tie: str, rank: str = "rank") -> DataFrame:
-    """Positions 1, 2, ... by score, greatest first, nulls last, ties by tie."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc_nulls_last(), F.col(tie))))
+    """Positions 1, 2, ... by score, greatest first, nulls and what isn't finite last, ties by tie."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(finite(score).desc_nulls_last(), F.col(tie))))
 
 
 def competition_rank(df: DataFrame, keys: list[str], score: Column, rank: str = "rank") -> DataFrame:
-    """1 + how many of the group score more; null where there is no score."""
-    w = Window.partitionBy(*keys).orderBy(score.desc_nulls_last())
-    return df.withColumn(rank, F.when(score.isNotNull(), F.rank().over(w)))
+    """1 + how many of the group score more; null where there is no finite score."""
+    w = Window.partitionBy(*keys).orderBy(finite(score).desc_nulls_last())
+    return df.withColumn(rank, F.when(finite(score).isNotNull(), F.rank().over(w)))
 
 
 def average_percentile(df: DataFrame, keys: list[str], value: str, name: str = "pct") -> DataFrame:
@@ -80,7 +82,7 @@ def band_join(queries: DataFrame, reference: DataFrame, q_mass: str, r_mass: str
     wide (for ppm on a log scale), a reference row into one, a query into the two or three that its band meets, and
     equal buckets join, so work follows matches. A pair meets in one bucket only. Non-finite masses match nothing.
     """
-    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf"))
+    ok = lambda c: finite(F.col(c).cast("double")).isNotNull()
     q, r = queries.where(ok(q_mass)), reference.where(ok(r_mass))
     m, x = F.col(q_mass), F.col(r_mass)
     if how == "ppm":
@@ -112,7 +114,7 @@ def nearest_match(pairs: DataFrame, keys: list[str], error: Column, tie: str) ->
 def quantiles(df: DataFrame, value: str, at=(0.25, 0.5, 0.75, 0.9), by: list[str] | None = None) -> DataFrame:
     """Exact quantiles, linear between neighbours, of finite values; with count, mean, deviation and range."""
     v = F.col(value).cast("double")
-    ok = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    ok = df.where(finite(v).isNotNull())
     cols = [F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
     cols += [F.percentile(v, F.lit(q)).alias(f"p{round(100 * q)}") for q in at]
     return ok.groupBy(*by).agg(*cols) if by else ok.agg(*cols)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chem, metrics, vectors
-from ..operators import catalog, ranking, relational, spectra, splits
+from ..operators import catalog, policies, ranking, relational, spectra, splits
 from ..sources import sdf
 from ..sources.tables import table
 
@@ -132,20 +132,20 @@ def formula_index_build(spark, d):
     return catalog.build_formula_index(_parts(spark, d), "formula", "mass").select("formula", _r("mass").alias("mass"))
 
 
-@query(f"""SELECT DISTINCT o_orderkey, formula, round((mass - q) / q * 1e6, 3) AS ppm FROM (SELECT o_orderkey, 50 + o_totalprice % 900 AS q FROM orders WHERE o_orderkey % 4 = 0)
+@query(f"""SELECT DISTINCT o_orderkey, formula, round((mass - q) / q * 1e6, 3) AS ppm FROM (SELECT o_orderkey, 50 + o_totalprice % 900 AS q FROM orders WHERE o_orderkey % 20 = 0)
 JOIN (SELECT {_FORMULA_SQL} AS formula, min({_MASS_SQL}) AS mass FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1) f ON mass BETWEEN q * (1 - 200 / 1e6) AND q * (1 + 200 / 1e6)""")
 def ppm_band_join(spark, d):
-    queries = table(spark, d, "orders").where("o_orderkey % 4 = 0").select("o_orderkey", (50 + F.col("o_totalprice") % 900).alias("q"))
+    queries = table(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", (50 + F.col("o_totalprice") % 900).alias("q"))
     index = catalog.build_formula_index(_parts(spark, d), "formula", "mass")
     return catalog.search_formulas(queries, index, "q", "mass", 200.0).select("o_orderkey", "formula", _r(chem.mass_error_ppm_observed(F.col("q"), F.col("mass")), 3).alias("ppm")).distinct()
 
 
-_BAND = "(SELECT o_orderkey AS q, o_totalprice AS qm, o_orderstatus AS qs FROM orders WHERE o_orderkey % 25 = 0) a JOIN (SELECT o_orderkey AS r, o_totalprice AS rm, o_orderstatus AS rs FROM orders) b"
+_BAND = "(SELECT o_orderkey AS q, o_totalprice AS qm, o_orderstatus AS qs FROM orders WHERE o_orderkey % 20 = 0) a JOIN (SELECT o_orderkey AS r, o_totalprice AS rm, o_orderstatus AS rs FROM orders) b"
 
 
 def _band(spark, d):
     o = table(spark, d, "orders")
-    return o.where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("q"), F.col("o_totalprice").alias("qm"), F.col("o_orderstatus").alias("qs")), o.select(F.col("o_orderkey").alias("r"), F.col("o_totalprice").alias("rm"), F.col("o_orderstatus").alias("rs"))
+    return o.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("q"), F.col("o_totalprice").alias("qm"), F.col("o_orderstatus").alias("qs")), o.select(F.col("o_orderkey").alias("r"), F.col("o_totalprice").alias("rm"), F.col("o_orderstatus").alias("rs"))
 
 
 @query(f"SELECT q, r FROM {_BAND} ON qs = rs AND abs(qm - rm) <= 100")
@@ -175,10 +175,10 @@ def nearest_mass_match(spark, d):
 
 
 @query("""SELECT a.l_orderkey AS q, b.l_orderkey AS r, count(*)::bigint AS n FROM lineitem a JOIN lineitem b ON a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus
-AND abs(a.l_extendedprice - b.l_extendedprice) <= 5 WHERE a.l_orderkey % 50 = 0 AND a.l_linenumber = 1 AND b.l_linenumber = 1 GROUP BY ALL""")
+AND abs(a.l_extendedprice - b.l_extendedprice) <= 5 WHERE a.l_orderkey % 20 = 0 GROUP BY ALL""")
 def precursor_adduct_match(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1")
-    q = rows.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("q"), F.col("l_returnflag").alias("qf"), F.col("l_linestatus").alias("qs"), F.col("l_extendedprice").alias("qm"))
+    rows = table(spark, d, "lineitem")
+    q = rows.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("q"), F.col("l_returnflag").alias("qf"), F.col("l_linestatus").alias("qs"), F.col("l_extendedprice").alias("qm"))
     r = rows.select(F.col("l_orderkey").alias("r"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("rs"), F.col("l_extendedprice").alias("rm"))
     return relational.band_join(q, r, "qm", "rm", 5.0, [("qf", "rf"), ("qs", "rs")]).groupBy("q", "r").agg(F.count("*").alias("n"))
 
@@ -257,24 +257,25 @@ def retrieval_index(spark, d):
     return index.select("l_orderkey", F.size("bins").cast("long").alias("n"), F.get("bins", 0).alias("first_bin"), _r(vectors.dot(F.col("weights"), F.col("weights"))).alias("length"))
 
 
-def _pairs(spark, d):
-    b = _binned(spark, d)
-    return spectra.similarity_pairs(b.where("l_orderkey % 100 = 0").withColumnRenamed("l_orderkey", "q"), b.withColumnRenamed("l_orderkey", "r"), "q", "r")
+def _moded(spark, d):
+    """Binned spectra with their mode and structure."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("mode"), F.col("o_custkey").alias("k"))
+    b = _binned(spark, d).join(o, "l_orderkey")
+    return b.where("l_orderkey % 20 = 0").withColumnsRenamed({"l_orderkey": "q", "k": "qk"}), b.withColumnsRenamed({"l_orderkey": "r", "k": "rk"})
 
 
-_PAIRS_SQL = f"(SELECT a.l_orderkey AS q, b.l_orderkey AS r, sum(a.weight * b.weight) AS score FROM {_NORMED} a JOIN {_NORMED} b ON a.bin = b.bin WHERE a.l_orderkey % 100 = 0 GROUP BY ALL)"
+_MODED = f"(SELECT l_orderkey, bin, weight, o_orderstatus AS mode, o_custkey AS k FROM {_NORMED} JOIN orders ON l_orderkey = o_orderkey)"
+_PAIRS_SQL = f"(SELECT a.l_orderkey AS q, b.l_orderkey AS r, a.k AS qk, b.k AS rk, sum(a.weight * b.weight) AS score FROM {_MODED} a JOIN {_MODED} b ON a.bin = b.bin AND a.mode = b.mode WHERE a.l_orderkey % 20 = 0 GROUP BY ALL)"
 
 
 @query(f"SELECT q, r, round(score, 6) AS score FROM {_PAIRS_SQL}")
 def sparse_cosine_pairs(spark, d):
-    return _pairs(spark, d).select("q", "r", _r("score").alias("score"))
+    return spectra.similarity_pairs(*_moded(spark, d), "q", "r", ["mode"]).select("q", "r", _r("score").alias("score"))
 
 
-@query(f"SELECT qk, rk, round(max(score), 6) AS score FROM {_PAIRS_SQL} p JOIN (SELECT o_orderkey, o_custkey AS qk FROM orders) a ON p.q = a.o_orderkey JOIN (SELECT o_orderkey, o_custkey AS rk FROM orders) b ON p.r = b.o_orderkey GROUP BY ALL")
+@query(f"SELECT qk, rk, round(max(score), 6) AS score FROM {_PAIRS_SQL} GROUP BY ALL")
 def sparse_cosine_max(spark, d):
-    o = table(spark, d, "orders")
-    q, r = o.select(F.col("o_orderkey").alias("q"), F.col("o_custkey").alias("qk")), o.select(F.col("o_orderkey").alias("r"), F.col("o_custkey").alias("rk"))
-    return spectra.structure_scores(_pairs(spark, d), q, r, "q", "r", "qk", "rk").select("qk", "rk", _r("score").alias("score"))
+    return spectra.best_by_structure(*_moded(spark, d), "q", "r", "qk", "rk", ["mode"]).select("qk", "rk", _r("score").alias("score"))
 
 
 _DOT = "list_inner_product(a.embedding::double[], b.embedding::double[])"
@@ -283,9 +284,8 @@ _DOT = "list_inner_product(a.embedding::double[], b.embedding::double[])"
 @query(f"SELECT b.vec_id AS vec_id, round({_DOT}, 6) AS score FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 0) a ORDER BY {_DOT} DESC, b.vec_id LIMIT 25")
 def dense_cosine_topk(spark, d):
     rows = table(spark, d, "embeddings")
-    one = rows.where("vec_id = 0").select(F.col("embedding").alias("_q"))
-    values = rows.sparkSession.sql("SELECT 1").select(F.array(*[F.lit(float(x)) for x in (one.first() or [[]])[0]]).alias("q")).first()[0]
-    return spectra.dense_top_k(rows, F.array(*map(F.lit, values)), "vec_id", "embedding", 25).select("vec_id", _r("score").alias("score"))
+    one = rows.where("vec_id = 0").limit(1).select(F.col("embedding").alias("_q"))
+    return spectra.dense_top_k(rows.crossJoin(F.broadcast(one)), F.col("_q"), "vec_id", "embedding", 25).select("vec_id", _r("score").alias("score"))
 
 
 def _vector_pairs(spark, d):
@@ -320,10 +320,23 @@ def tanimoto_pairs(spark, d):
     return _word_pairs(spark, d).select("q", "r", _r("similarity").alias("similarity"))
 
 
-@query(f"SELECT q, round(max(similarity * greatest(g, 0)), 6) AS prior, count(DISTINCT r)::bigint AS usable_neighbors FROM {_TANIMOTO} GROUP BY q")
+_NEAR = f"(SELECT q, r AS neighbor, g FROM {_TANIMOTO} QUALIFY row_number() OVER (PARTITION BY q ORDER BY g DESC, r) <= 5)"
+_WORDS = f"(SELECT vec_id, {_WORD.format('embeddings')} AS w FROM embeddings)"
+
+
+@query(f"""SELECT q, r, prior, usable_neighbors, row_number() OVER (PARTITION BY q ORDER BY prior DESC, r) AS prior_rank FROM (
+SELECT t.q AS q, t.r AS r, round(max(bit_count(x.w & y.w)::double / bit_count(x.w | y.w) * greatest(n.g, 0)), 4) AS prior, count(DISTINCT neighbor)::bigint AS usable_neighbors
+FROM {_TANIMOTO} t JOIN {_NEAR} n ON t.q = n.q JOIN {_WORDS} x ON x.vec_id = t.r JOIN {_WORDS} y ON y.vec_id = n.neighbor GROUP BY ALL)""")
 def tanimoto_prior(spark, d):
-    pairs = _word_pairs(spark, d).withColumn("_s", F.col("similarity") * F.greatest("spectral_score", F.lit(0.0)))
-    return pairs.groupBy("q").agg(_r(F.max("_s")).alias("prior"), F.countDistinct("r").alias("usable_neighbors"))
+    word = lambda c: F.array(vectors.sign_word(F.col(c), 0, 60))
+    pairs = _word_pairs(spark, d).select("q", "r", "spectral_score")
+    words = table(spark, d, "embeddings").select("vec_id", word("embedding").alias("w"))
+    near = relational.top_k_per_group(pairs, ["q"], [F.desc("spectral_score"), F.asc("r")], 5).select("q", F.col("r").alias("neighbor"), "spectral_score")
+    near = near.join(words.withColumnsRenamed({"vec_id": "neighbor", "w": "nw"}), "neighbor")
+    candidates = pairs.select("q", "r").join(words.withColumnsRenamed({"vec_id": "r", "w": "cw"}), "r")
+    out = ranking.neighbor_prior(candidates, near, "q", "r", vectors.tanimoto_words(F.col("cw"), F.col("nw")))
+    rounded = out.select("q", "r", _r("prior", 4).alias("prior"), "usable_neighbors")
+    return relational.deterministic_rank(rounded, ["q"], F.col("prior"), "r", "prior_rank").withColumn("prior_rank", F.col("prior_rank").cast("long"))
 
 
 @query(f"""SELECT q, round(max(similarity), 6) AS max_similarity, round(avg(similarity), 6) AS mean_similarity, round(avg(CASE WHEN n <= 3 THEN similarity END), 6) AS top3_mean, round(avg(CASE WHEN n <= 5 THEN similarity END), 6) AS top5_mean,
@@ -342,9 +355,9 @@ def candidate_max_merge(spark, d):
     return spectra.merge_scores(*halves, keys=["label", "r"]).select("label", "r", _r("score").alias("score"))
 
 
-@query(f"SELECT a.vec_id AS q, b.vec_id AS r, round({_DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 9) DESC, b.vec_id) <= 25")
+@query(f"SELECT a.vec_id AS q, b.vec_id AS r, round({_DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 9) DESC, b.vec_id) <= 25")
 def top_k_candidates(spark, d):
-    scores = _vector_pairs(spark, d).where("q % 100 = 0").select("q", "r", F.round(vectors.dot(F.col("qe"), F.col("re")), 9).alias("score"))
+    scores = _vector_pairs(spark, d).select("q", "r", F.round(vectors.dot(F.col("qe"), F.col("re")), 9).alias("score"))
     return ranking.top_candidates(scores, "q", "r", 25).select("q", "r", _r("score").alias("score"))
 
 
@@ -549,12 +562,12 @@ def formula_collapse(spark, d):
     return out
 
 
-_CAL = f"(SELECT f.n, f.c, f.fused_rank, x.d FROM (SELECT n, c, row_number() OVER (PARTITION BY n ORDER BY {_RRF} DESC, c) AS fused_rank FROM {_TWO}) f JOIN (SELECT c_nationkey AS n, c_acctbal AS d, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS k, count(*) OVER (PARTITION BY c_nationkey) AS t FROM customer WHERE c_custkey % 30 = 0) x ON f.n = x.n AND least(f.fused_rank, x.t) = x.k)"
+_CAL = f"(SELECT f.n, f.c, f.fused_rank, x.d FROM (SELECT n, c, row_number() OVER (PARTITION BY n ORDER BY {_RRF} DESC, c) AS fused_rank FROM {_TWO}) f JOIN (SELECT c_nationkey AS n, c_acctbal AS d, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS k, count(*) OVER (PARTITION BY c_nationkey) AS t FROM customer) x ON f.n = x.n AND least(f.fused_rank, x.t) = x.k)"
 
 
 def _calibrated(spark, d):
     fused = ranking.fuse_rrf(*_two_ranks(spark, d), "n", "c", "prior_rank", "other_rank")
-    distances = table(spark, d, "customer").where("c_custkey % 30 = 0").select(F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("dist"))
+    distances = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("dist"))
     return ranking.calibrate(fused, distances, "n", "fused_rank", "dist")
 
 
@@ -563,10 +576,15 @@ def distance_calibration(spark, d):
     return _calibrated(spark, d).select("n", "c", F.col("fused_rank").cast("long").alias("fused_rank"), "calibrated_distance")
 
 
-@query(f"SELECT m, c, round(s, 6) AS final_score, row_number() OVER (PARTITION BY m ORDER BY s DESC, c) AS rank FROM (SELECT n % 5 AS m, c, max(-d - 0.02 * abs(c % 13 - 6)) AS s FROM {_CAL} GROUP BY ALL)")
+_GUARDED = f"(SELECT g.n, g.c, g.k AS guarded_rank, x.d FROM (SELECT n, c, {_guard_sql(5)} AS k FROM {_TWO}) g JOIN (SELECT c_nationkey AS n, c_acctbal AS d, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS k, count(*) OVER (PARTITION BY c_nationkey) AS t FROM customer) x ON g.n = x.n AND least(g.k, x.t) = x.k)"
+
+
+@query(f"SELECT m, c, round(s, 6) AS final_score, row_number() OVER (PARTITION BY m ORDER BY s DESC, c) AS rank FROM (SELECT n % 5 AS m, c, max(-d - 0.02 * abs(n - 12)) AS s FROM {_GUARDED} GROUP BY ALL)")
 def production_ranking(spark, d):
-    rows = _calibrated(spark, d).select((F.col("n") % 5).alias("m"), "c", "calibrated_distance", (F.col("c") % 13 - 6).alias("ppm"), F.col("n").alias("hypothesis_spec"))
-    return ranking.final_scores(rows, "m", "c", "ppm").select("m", "c", _r("final_score").alias("final_score"), F.col("rank").cast("long").alias("rank"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), (F.col("n_nationkey") % 5).alias("m"), (F.col("n_nationkey") - 12).alias("ppm"))
+    distances = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("dist"))
+    out = policies.guarded_production(*_two_ranks(spark, d), distances, nations, "m", "n", "c", "dist", "ppm")
+    return out.select("m", "c", _r("final_score").alias("final_score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT c_custkey, round(0.75 * (rank() OVER (PARTITION BY c_mktsegment ORDER BY a) + (count(*) OVER (PARTITION BY c_mktsegment, a) - 1) / 2.0::double) / count(*) OVER (PARTITION BY c_mktsegment)

@@ -14,6 +14,8 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     Errors: a block without END IONS or FEATURE_ID. check_features() finds repeated ids.
     """
     raw = spark.read.option("lineSep", "BEGIN IONS").text(path).where(F.trim("value") != "")
+    # text before a file's first block (a header) has neither an end nor a line of a block
+    raw = raw.where(~((F.instr("value", "END IONS") == 0) & ~F.col("value").rlike("(?m)^(FEATURE_ID|TITLE|PEPMASS|CHARGE)=|^[0-9.]+[ \t]")))
     ended = F.instr("value", "END IONS") > 0
     body = F.when(ended, F.substring_index("value", "END IONS", 1)).otherwise(F.raise_error(F.lit("unterminated block")).cast("string"))
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.rtrim(F.regexp_replace(x, "\r$", ""))), lambda x: x != "")

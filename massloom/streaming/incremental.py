@@ -16,15 +16,19 @@ def merge_stream(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.max("score").alias("score"))
 
 
+def _exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_merged(scores: DataFrame, path: str, checkpoint: str, keys: list[str]):
     """Start a query that keeps, by batches, a Parquet version of the merged scores in path/version=<batch>."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        except Exception:  # a first batch after a clean start
-            before = None
+        last = f"{path}/version={number - 1}"
+        # no version before: a first batch after a clean start; one that can't be read is an error
+        before = spark.read.parquet(last) if number and _exists(spark, last) else None
         merged = merge_scores(batch, keys=keys) if before is None else merge_scores(before, batch, keys=keys)
         merged.write.mode("overwrite").parquet(f"{path}/version={number}")
 
