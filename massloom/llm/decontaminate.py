@@ -7,31 +7,41 @@ value of a slot in the item always turns into the same value of the same type in
 different ones. Windows with less than MIN_FIXED words that are no slots say too little for that and are left out. A
 second hash takes the words as they are but for case and outer signs: equal words are a copy, names in any case.
 
-The benchmark is the small side. Its windows go to every task while the benchmark has at most max_windows of them (some
-1.5 kB each with their words); beyond that, the documents' windows are joined with them by hash, by shuffle. Either way
-only windows that hit are looked at closely, and slots are checked on those.
+Hashes go first: the benchmark's mark a bit table of fixed size, which every task holds, and a document's windows that
+both bits let pass are noted beside it with their words, each distinct one once a task. Those windows, few, are then
+joined with the benchmark's by hash, slots and words are checked on what meets, and documents learn of it by a row number
+of their own. A benchmark too large for the bit table costs work, not results; the driver holds that table alone.
 
 Edge cases: null, empty and short texts have no window and are clean; an item with fewer than WINDOW words is one window
-of its own length if it has MIN_FIXED fixed words, and matches documents' windows of that length; repeated rows are
+of its own length if it has MIN_FIXED fixed words (or SHORTEST words, for plain copies), and matches documents' windows of
+that length; shorter items say too little and are never looked for; ties do not arise; very long texts are windowed whole; repeated rows are
 judged alike; an empty benchmark leaves all clean; in filters all columns stay as they are, working columns are prefixed
 dec__. Texts of any length are windowed whole, in slices of rows of a few MB.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import scratch
 from .textnum import flat, hash_spans, mix, pieces, word_spans
 
 WINDOW = 13
 MIN_FIXED = 6
-MAX_WINDOWS = 200_000
+#: Words that an item needs for its plain copies to be looked for, whatever its words are.
+SHORTEST = 8
+#: Bits of the table that marks hashes of the benchmark's windows, two for each: 8 MB.
+MARKS = 1 << 26
+#: Distinct windows whose words a task remembers to have noted.
+NOTED = 200_000
 
 #: Words for units and numbers, as they stand in questions.
 UNITS = frozenset("mm cm m km mg g kg t ml l s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years inch inches foot feet ft yard yards mile miles pound pounds lb lbs ounce ounces oz gallon gallons liter liters litre litres meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms ton tons dollar dollars euro euros cent cents usd eur gbp percent % degree degrees celsius fahrenheit kelvin watt watts kw kwh volt volts amp amps hz khz mhz ghz kb mb gb tb".split())
@@ -164,7 +174,7 @@ def benchmark_windows(benchmark: DataFrame, text_column: str = "text") -> DataFr
                 for as_is, hashed in ((False, word), (True, plain)):
                     at, h = _windows(hashed, counts, width)
                     for i, x in zip(at.tolist(), h.tolist()):
-                        if width - int(slot[i : i + width].sum()) >= MIN_FIXED or (as_is and width == WINDOW):
+                        if width - int(slot[i : i + width].sum()) >= MIN_FIXED or (as_is and width >= min(WINDOW, SHORTEST)):
                             widths.append(width)
                             plains.append(as_is)
                             hashes.append(np.uint64(x).view(np.int64))
@@ -190,104 +200,84 @@ def agree(plain: bool, item: list, found: list) -> bool:
     return item == found if plain else consistent(item, found)
 
 
-class _Finder:
-    """Which texts of a batch hold a benchmark window with equal words or consistent slots."""
-
-    def __init__(self, rows: list[tuple[int, bool, int, list[str]]]):
-        self.known: dict = {}
-        self.items: dict[tuple[int, bool, int], list[list]] = {}
-        for width, plain, h, words in rows:
-            self.items.setdefault((width, plain, h), []).append(facts_of(words, plain))
-        kinds = {(w, p) for w, p, _ in self.items}
-        self.hashes = {k: np.unique(np.array([h for w, p, h in self.items if (w, p) == k], np.int64)) for k in kinds}
-
-    def hits(self, column: pa.Array) -> Iterator[tuple[int, tuple[int, bool, int], list]]:
-        """(text, key, facts) of windows whose hash the benchmark has."""
-        data, bounds = flat(column)
-        word, plain_word, _, counts, starts, ends = template_hashes(data, bounds, self.known)
-        text = np.repeat(np.arange(len(counts)), counts)
-        first = np.cumsum(counts) - counts
-        for (width, plain), keys in self.hashes.items():
-            at, h = _windows(plain_word if plain else word, counts, width)
-            h = h.view(np.int64)
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for i in np.flatnonzero(keys[place] == h):
-                a = int(at[i])
-                lead = a > first[text[a]]
-                span = [data[starts[j] : ends[j]].tobytes().decode() for j in range(a - lead, a + width)]
-                yield int(text[a]), (width, plain, int(h[i])), facts_of(span if lead else ["", *span], plain)
-
-    def contaminated(self, column: pa.Array) -> np.ndarray:
-        out, seen = np.zeros(len(column), bool), {}
-        for text, key, facts in self.hits(column):
-            if not out[text]:
-                case = (key, tuple(facts))
-                if case not in seen:
-                    seen[case] = any(agree(key[1], item, facts) for item in self.items[key])
-                out[text] = seen[case]
-        return out
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", benchmark_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with dec__hit: whether the text holds a benchmark window, re-parameterised ones included."""
-    from .common import drop, scratch
-
+def _bits(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of 64-bit hashes in a table of n bits, a power of two."""
+    return h % np.uint64(n), (h >> np.uint64(32)) % np.uint64(n)
+
+
+def _marks(table: DataFrame) -> np.ndarray:
+    """The bit table of the benchmark's hashes, as 64-bit words; MARKS / 64 rows at most reach the driver."""
+    spots = F.array(F.pmod("hash", F.lit(MARKS)), F.pmod(F.call_function("shiftrightunsigned", F.col("hash"), F.lit(32)), F.lit(MARKS)))
+    words = table.select(F.explode(spots).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("i"))
+    out = np.zeros(MARKS // 64, np.uint64)
+    for r in words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("w")).toLocalIterator():
+        out[r["i"]] = np.int64(r["w"]).view(np.uint64)
+    return out
+
+
+FOUND = "array<struct<case:bigint,width:int,plain:boolean,hash:bigint,words:array<string>>>"
+
+
+def _noted(marks: np.ndarray, kinds: list[tuple[int, bool]], column: pa.Array, known: dict, seen: set) -> list[list[dict] | None]:
+    """Of each text the windows that the table lets pass, each once, with words where this task has not noted them."""
+    data, bounds = flat(column)
+    word, plain_word, _, counts, starts, ends = template_hashes(data, bounds, known)
+    text, first = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    out: list[dict[int, dict] | None] = [None] * len(column)
+    for width, plain in kinds:
+        at, h = _windows(plain_word if plain else word, counts, width)
+        on = np.ones(len(h), bool)
+        for p in _bits(h, 64 * len(marks)):
+            on &= (marks[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        for i in np.flatnonzero(on):
+            a = int(at[i])
+            lead = a > first[text[a]]  # the word before shows whether the first one begins a sentence
+            span = [data[starts[j] : ends[j]].tobytes().decode() for j in range(a - lead, a + width)]
+            words = span if lead else ["", *span]
+            key = int(h[i].view(np.int64))
+            case = int.from_bytes(hashlib.blake2b("\0".join([str(width), str(plain), str(key), *words]).encode(), digest_size=8).digest(), "big", signed=True)
+            if out[text[a]] is None:
+                out[text[a]] = {}
+            if case not in out[text[a]]:
+                out[text[a]][case] = {"case": case, "width": width, "plain": plain, "hash": key, "words": None if case in seen else words}
+                if len(seen) >= NOTED:
+                    seen.clear()
+                seen.add(case)
+    return [None if x is None else list(x.values()) for x in out]
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", benchmark_text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """docs, or its columns carry, with dec__hit: whether the text holds a benchmark window, re-parameterised ones included."""
+    spark, names = docs.sparkSession, carry or docs.columns
     table = scratch(benchmark_windows(benchmark, benchmark_text), "benchwindows")
-    n = table.count()
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", dec__hit boolean"
-    if n <= max_windows:
-        rows = [(r.width, r.plain, r.hash, list(r.words)) for r in table.collect()]
-        drop(table)
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = _Finder(shared.value)
-            for batch in batches:
-                for part in pieces(batch, text_column):
-                    hit = finder.contaminated(part.column(text_column)) if finder.hashes else np.zeros(part.num_rows, bool)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hit)], [*names, "dec__hit"])
-
-        return docs.mapInArrow(run, schema)
-    return _mark_by_join(docs, table, text_column)
-
-
-def _mark_by_join(docs: DataFrame, table: DataFrame, text_column: str) -> DataFrame:
-    """mark() for a benchmark of any size: windows of documents and items join by hash, by shuffle.
-
-    Documents get a scratch table with a row number each, so that ids may repeat or be null.
-    """
-    from .common import scratch
-
-    widths = [(r.width, r.plain) for r in table.select("width", "plain").distinct().collect()]  # at most 2 * WINDOW of them
-    numbered = scratch(docs.withColumn("dec__row", F.monotonically_increasing_id()), "decdocs")
+    kinds = [(r.width, r.plain) for r in table.select("width", "plain").distinct().collect()]  # at most 2 * WINDOW of them
+    shared = spark.sparkContext.broadcast(_marks(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        known, seen, n = {}, set(), TaskContext.get().partitionId() << 40
+        kind = pa.list_(pa.struct([("case", pa.int64()), ("width", pa.int32()), ("plain", pa.bool_()), ("hash", pa.int64()), ("words", pa.list_(pa.string()))]))
         for batch in batches:
-            for part in pieces(batch, "text"):
-                data, bounds = flat(part.column("text"))
-                word, plain_word, _, counts, starts, ends = template_hashes(data, bounds, known)
-                text = np.repeat(np.arange(len(counts)), counts)
-                first = np.cumsum(counts) - counts
-                ids = part.column("dec__row").to_numpy()
-                for width, plain in widths:
-                    at, h = _windows(plain_word if plain else word, counts, width)
-                    for i in range(0, len(at), 20_000):
-                        a = at[i : i + 20_000]
-                        lead = (a > first[text[a]]).astype(int)
-                        rows = [["" for _ in range(1 - b)] + [data[starts[j] : ends[j]].tobytes().decode() for j in range(k - b, k + width)] for k, b in zip(a.tolist(), lead.tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[text[a]]), pa.array(np.full(len(a), width, np.int32)), pa.array(np.full(len(a), plain)), pa.array(h[i : i + 20_000].view(np.int64)), pa.array(rows, pa.list_(pa.string()))], ["dec__row", "width", "plain", "hash", "found"])
-
-    windows = numbered.select("dec__row", F.col(text_column).alias("text")).mapInArrow(run, "dec__row long, width int, plain boolean, hash long, found array<string>")
+            for part in pieces(batch, text_column):
+                found = _noted(shared.value, kinds, part.column(text_column), known, seen)
+                rows = pa.array(range(n, n + part.num_rows), pa.int64())
+                n += part.num_rows
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], rows, pa.array(found, kind)], [*names, "dec__row", "dec__found"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema)
+    needed = docs.select(*names, *([] if text_column in names else [text_column]))
+    noted = scratch(needed.mapInArrow(run, f"{fields}, dec__row long, dec__found {FOUND}"), "decdocs")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [agree(p, facts_of(a, p), facts_of(b, p)) for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("plain", "words", "found")))]
-            yield pa.RecordBatch.from_arrays([batch.column("dec__row").filter(pa.array(ok, pa.bool_()))], ["dec__row"])
+            yield pa.RecordBatch.from_arrays([batch.column("case").filter(pa.array(ok, pa.bool_()))], ["case"])
 
-    hits = windows.join(table, ["width", "plain", "hash"]).select("dec__row", "plain", "words", "found").mapInArrow(check, "dec__row long").distinct()
-    return numbered.join(hits.withColumn("dec__hit", F.lit(True)), "dec__row", "left").select(*docs.columns, F.coalesce("dec__hit", F.lit(False)).alias("dec__hit"))
+    found = noted.where("dec__found is not null").select("dec__row", F.explode("dec__found").alias("f")).select("dec__row", "f.*")
+    cases = found.where("words is not null").select("case", "width", "plain", "hash", F.col("words").alias("found")).dropDuplicates(["case"])
+    met = cases.join(table, ["width", "plain", "hash"]).select("case", "plain", "words", "found")
+    right = scratch(met.mapInArrow(check, "case long").distinct(), "deccases")
+    hits = scratch(found.join(right, "case", "left_semi").select("dec__row", F.lit(True).alias("dec__hit")).distinct(), "dechits")
+    return noted.join(hits, "dec__row", "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("dec__hit", F.lit(False)).alias("dec__hit"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", benchmark_text: str = "text") -> DataFrame:
@@ -297,5 +287,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", ben
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    marked = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+    marked = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"), carry=["doc_id"])
     return marked.select("doc_id", F.col("dec__hit").alias("contaminated"))

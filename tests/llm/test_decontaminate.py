@@ -27,7 +27,7 @@ def brute(text, items):
         w = min(d.WINDOW, len(iw))
         for i in range(len(iw) - w + 1):
             fixed = sum(s is None for s in isl[i : i + w]) >= d.MIN_FIXED
-            if w == d.WINDOW or fixed:
+            if w >= d.SHORTEST or fixed:
                 for j in range(len(ws) - w + 1):
                     if low[j] == ilow[i] and low[j : j + w] == ilow[i : i + w]:
                         return True
@@ -41,7 +41,7 @@ def test_cases_and_both_forms(spark):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "only a few words here")], "item_id long, text string")
     want = {i: v for i, v in enumerate(CASES.values())}
     assert {r.doc_id: r.dec__hit for r in d.mark(docs, bench).collect()} == want
-    assert {r.doc_id: r.dec__hit for r in d.mark(docs, bench, max_windows=0).collect()} == want
+    assert {r.doc_id: r.dec__hit for r in d.mark(docs, bench, carry=["doc_id"]).collect()} == want
     assert {r.doc_id for r in d.remove(docs, bench).collect()} == {i for i, v in want.items() if not v}
     assert d.mark(docs, bench.where("false")).where("dec__hit").count() == 0
 
@@ -59,3 +59,12 @@ def test_slots():
     assert not d.consistent([("<num>", "3"), ("<num>", "3")], [("<num>", "5"), ("<num>", "6")])
     assert not d.consistent([("<num>", "3"), ("<num>", "4")], [("<num>", "5"), ("<num>", "5")])
     assert d.canonical("Take 5 kg to Paris. Then rest".split())[0] == ["take", "<num>", "<unit>", "to", "<name>", "then", "rest"]
+
+
+def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(d, "MARKS", 64)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)] * 2, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, "seven 7 8 9 Bob 10 11 12"), (3, prose(77, 400))], "item_id long, text string")
+    assert {r.doc_id: r.dec__hit for r in d.mark(docs, bench).collect()} == dict(enumerate(CASES.values()))
+    short = spark.createDataFrame([(1, "so seven 7 8 9 BOB 10 11 12 it is")], "doc_id long, text string")
+    assert [r.dec__hit for r in d.mark(short, bench).collect()] == [True]
