@@ -89,7 +89,8 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     now = scratch(pairs.distinct(), name)
-    while not now.isEmpty():
+    digest = _digest(now)
+    while digest[0]:
         # large star: every larger neighbour of a node hangs on the node's least neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -110,10 +111,10 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
             .distinct()
         )
         after = scratch(small, name)
-        same = _digest(now) == _digest(after)
+        before, digest = digest, _digest(after)
         drop(now)
         now = after
-        if same and _is_forest(now):
+        if before == digest and _is_forest(now):
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
