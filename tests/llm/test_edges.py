@@ -7,7 +7,7 @@ import corpus_pipeline
 from massloom import llm
 from massloom.llm import decontaminate, line_dedup, ngram_join, pii, quality_rules
 
-DOCUMENT_QUERIES = [q for q in llm.queries() if q != "op10_url_filters"]
+DOCUMENT_QUERIES = [q for q in llm.queries() if q not in ("op10_url_filters", "op11_prefix_trie")]
 
 
 @pytest.fixture(scope="session", autouse=True)
