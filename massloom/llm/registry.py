@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, ngram_join, pieces, pii, prefix_trie, quality_rules, secrets, token_files, url_filters
+from . import decontaminate, licenses, line_dedup, ngram_join, pieces, pii, prefix_trie, quality_rules, secrets, token_files, toxicity, url_filters
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_classes": ngram_join.op9_ngram_classes,
     "op10_url_filters": url_filters.op10_url_filters,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_toxicity": toxicity.op12_toxicity,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -15,6 +15,9 @@ def benchmarks(spark, odd_dir, none_dir):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen")], "item_id long, text string")
     items.write.parquet(f"{odd_dir}/benchmark.parquet")
     items.where("false").write.parquet(f"{none_dir}/benchmark.parquet")
+    marks = spark.createDataFrame([(k, k % 2, "x") for k in range(1, 9)] + [(4, 1, "x"), (None, 1, "x"), (5, None, "x"), (6, 7, "x")], "doc_id long, toxic int, text string")
+    marks.write.parquet(f"{odd_dir}/labels.parquet")
+    marks.where("false").write.parquet(f"{none_dir}/labels.parquet")
 
 
 @pytest.mark.parametrize("name", DOCUMENT_QUERIES)
