@@ -79,12 +79,24 @@ def least_mass_delta(a: DataFrame, b: DataFrame, key: str, a_mass: str, b_mass:
     return near.where("_t = 0 and _d is not null").groupBy(key).agg(F.min("_d").alias("min_delta"))
 
 
+#: Ranges that dense_ids numbers apart, and the keys a range that their bounds are chosen from.
+ID_RANGES, SAMPLED_A_RANGE = 64, 64
+
+
 def dense_ids(df: DataFrame, key: str, name: str = "key_id") -> DataFrame:
     """df with the place of its key among the distinct keys in order, from 0; nulls have none.
 
-    One window over the distinct keys alone, as the ids are global; use the keys themselves where that will do.
+    The keys fall into ID_RANGES ranges between bounds from a fixed-size sample (the least hashes). Each range is numbered
+    by itself and starts after the counts of those before it, ID_RANGES numbers at most; no task holds all keys.
     """
-    ids = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    sample = keys.orderBy(F.xxhash64(key), key).limit(ID_RANGES * SAMPLED_A_RANGE)
+    bounds = [r[0] for r in sample.orderBy(key).collect()][SAMPLED_A_RANGE - 1 :: SAMPLED_A_RANGE]
+    part = sum((F.col(key) >= F.lit(b)).cast("int") for b in bounds) if bounds else F.lit(0)
+    counts = {r[0]: r[1] for r in keys.groupBy(part.alias("_p")).agg(F.count("*")).collect()}
+    starts = [sum(n for p, n in counts.items() if p < k) for k in range(len(bounds) + 1)]
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    ids = keys.withColumn("_p", part).select(key, (inside + F.get(F.array(*[F.lit(n).cast("long") for n in starts]), F.col("_p"))).alias(name))
     return df.join(ids, key, "left")
 
 
@@ -116,6 +128,35 @@ def per_spectrum_scores(scores: DataFrame, fits: DataFrame, spectrum: str, candi
     return merged.withColumn("fallback", F.every("_f").over(Window.partitionBy(query))).drop("_f")
 
 
+def two_source_scores(filtered: DataFrame, fallback: DataFrame, spectrum: str, candidate: str, query: str) -> DataFrame:
+    """(query, candidate, score, n_filtered, n_fallback): each spectrum by its filtered rows, or, where it has none, by its
+    rows of another table; then the greatest of a query's spectra.
+
+    filtered and fallback come from different searches, as cross-polarity mass candidates beside all of the own polarity,
+    so no row of the one stands in for the other. A filtered row without a finite score still counts as one.
+    """
+    value = finite(F.col("score").cast("double"))
+    own = filtered.select(query, candidate, spectrum, value.alias("_s"), F.lit(1).alias("_n"), F.lit(0).alias("_f"))
+    rest = fallback.join(filtered.select(spectrum).distinct(), spectrum, "left_anti").select(query, candidate, spectrum, value.alias("_s"), F.lit(0).alias("_n"), F.lit(1).alias("_f"))
+    return own.unionByName(rest).groupBy(query, candidate).agg(F.max("_s").alias("score"), F.sum("_n").alias("n_filtered"), F.sum("_f").alias("n_fallback"))
+
+
+def intrusions(ranked: DataFrame, query: str, candidate: str, rank: str, formula: str, truth: str, truth_formula: str) -> DataFrame:
+    """A row a query whose truth is ranked: its place, how many rows of its own and of other formulas stand above it, the
+    other formulas among them, and the place it would have among its own formula alone.
+
+    ranked carries the query's truth and truth_formula on every row. The truth's place is a window maximum and what is
+    above it a conditional count, so the ranking isn't joined with itself.
+    """
+    w = Window.partitionBy(query)
+    placed = ranked.withColumn("_t", F.max(F.when(F.col(candidate) == F.col(truth), F.col(rank))).over(w)).where("_t is not null")
+    above, own = F.col(rank) < F.col("_t"), F.coalesce(F.col(formula) == F.col(truth_formula), F.lit(False))
+    return placed.groupBy(query).agg(
+        F.max("_t").alias("truth_rank"), F.count_if(above & own).alias("own_above"), F.count_if(above & ~own).alias("intruders"),
+        F.count_distinct(F.when(above & ~own, F.col(formula))).alias("intruding_formulas"), (F.count_if(above & own) + 1).alias("oracle_formula_rank"),
+    )
+
+
 def fallback_ranking(merged: DataFrame, smiles: DataFrame, query: str, candidate: str, text: str, k: int = 25) -> DataFrame:
     """merged scores with their structures' texts; blank ones dropped, the k best of each query numbered anew."""
     named = merged.join(smiles.select(candidate, F.trim(text).alias(text)), candidate).where(F.col(text) != "").where("score is not null")
@@ -130,13 +171,13 @@ _STRATEGIES = {
 
 
 def formula_strategies(hypotheses: DataFrame, molecule: str, formula: str) -> DataFrame:
-    """hypotheses once for each strategy, with strategy and its rank of the formula."""
-    out = None
-    for name, order in _STRATEGIES.items():
-        rank = F.row_number().over(Window.partitionBy(molecule).orderBy(*order(), F.asc(formula)))
-        part = hypotheses.withColumns({"strategy": F.lit(name), "strategy_rank": rank})
-        out = part if out is None else out.unionByName(part)
-    return out
+    """hypotheses once for each strategy, with strategy and its rank of the formula.
+
+    One pass: the three orders are windows of one partitioning, and their ranks are unfolded afterwards.
+    """
+    ranks = {f"_{name}": F.row_number().over(Window.partitionBy(molecule).orderBy(*order(), F.asc(formula))) for name, order in _STRATEGIES.items()}
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(f"_{name}").alias("strategy_rank")) for name in _STRATEGIES]))
+    return hypotheses.withColumns(ranks).select(*hypotheses.columns, each)
 
 
 def formula_gates(ranked: DataFrame, burden: DataFrame, molecule: str, formula: str, truth: Column, gates=GATES) -> DataFrame:

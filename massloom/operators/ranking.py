@@ -107,11 +107,15 @@ def collapse(candidates: DataFrame, query: str, candidate: str, policy: str, pen
 
 
 def calibrate(ranked: DataFrame, distances: DataFrame, spec: str, rank: str, distance: str) -> DataFrame:
-    """ranked with calibrated_distance: the distance at the same place of the spec's sorted distances, the last beyond."""
+    """ranked with calibrated_distance: the distance at the same place of the spec's sorted distances, the last beyond.
+
+    A hypothesis without any finite distance is an error, not a hypothesis less.
+    """
     n = Window.partitionBy(spec)
     places = distances.where(finite(F.col(distance)).isNotNull()).select(spec, F.col(distance).alias("calibrated_distance"), F.row_number().over(n.orderBy(distance)).alias("_place"), F.count("*").over(n).alias("_n"))
     sizes = places.where("_place = 1").select(spec, "_n")
-    named = ranked.join(sizes, spec).withColumn("_place", F.least(F.col(rank), F.col("_n")).cast("int")).drop("_n")
+    known = F.coalesce(F.col("_n"), F.raise_error(F.concat(F.lit("no distance for "), F.col(spec).cast("string"))).cast("long"))
+    named = ranked.join(sizes, spec, "left").withColumn("_place", F.least(F.col(rank), known).cast("int")).drop("_n")
     return named.join(places.drop("_n"), [spec, "_place"]).drop("_place")
 
 
@@ -141,8 +145,8 @@ def neighbor_prior(candidates: DataFrame, neighbors: DataFrame, query: str, cand
 def neighbor_features(pairs: DataFrame, query: str, candidate: str, similarity: str = "similarity", weight: str = "spectral_score") -> DataFrame:
     """Summaries of a candidate's similarities to its query's neighbours."""
     w = Window.partitionBy(query, candidate)
-    ranked = pairs.withColumn("_n", F.row_number().over(w.orderBy(F.desc(similarity), F.asc("neighbor"))))
-    s, g = F.col(similarity), F.col(weight)
+    ranked = pairs.withColumn("_n", F.row_number().over(w.orderBy(finite(F.col(similarity)).desc_nulls_last(), F.asc("neighbor"))))
+    s, g = finite(F.col(similarity)), F.col(weight)
     top = lambda k: F.avg(F.when(F.col("_n") <= k, s))
     over = lambda t: F.count_if(s >= t).alias(f"count_ge_{str(t).replace('.', '')}")
     return ranked.groupBy(query, candidate).agg(

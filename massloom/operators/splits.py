@@ -10,9 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_folder
 from .relational import assert_unique, require_columns
 
-# Structures to take from each library, for each of the two sets.
+# Structures to take from each library, for each of the two sets; below, the library that is left out.
 DEFAULT_QUOTAS = {"gnps": 400, "pluskal_ms2": 350, "riken": 350, "mona": 300, "msdial": 200, "massbank": 200, "enveda-180": 150, "drug_plus": 50}
 
 
@@ -47,20 +48,28 @@ def retrieval_split(metadata: DataFrame, key: str, library: str, config: SplitCo
     """(key, query_library, part, counts): 2 * quota structures of each library, half for dev and half for holdout.
 
     A structure is eligible with two libraries or more, excluded ones apart. Libraries choose in order of quota, largest
-    first, and no structure is chosen twice; the loop is over the libraries of the configuration.
+    first, and no structure is chosen twice.
+
+    The eligible rows are written once, by library; each library reads its own part, leaves out what is taken and appends
+    its choice, 2 * quota rows at most. So every step's plan is as large as the first one's, and the result is one scan.
     """
+    spark = metadata.sparkSession
     rows = metadata.where(~F.col(library).isin(list(config.excluded))).na.drop(subset=[key, library])
     counts = rows.groupBy(key, library).agg(F.count("*").alias("query_spectrum_count"))
     eligible = counts.groupBy(key).agg(F.countDistinct(library).alias("_libs"), F.sum("query_spectrum_count").alias("_all")).where("_libs >= 2")
-    pool = counts.join(eligible, key)
-    chosen = None
-    for name, quota in sorted(config.quotas.items(), key=lambda kv: (-kv[1], kv[0])):
+    pool = counts.where(F.col(library).isin(list(config.quotas))).join(eligible, key)
+    folder = new_folder(spark, "split")
+    pool.write.partitionBy(library).parquet(f"{folder}/pool")
+    pool = spark.read.schema(pool.schema).parquet(f"{folder}/pool")
+    order = F.row_number().over(Window.partitionBy(library).orderBy(seeded(F.concat_ws("|", F.col(library), F.col(key)), config.seed), F.col(key)))
+    out = pool.withColumn("part", F.lit("")).schema
+    for turn, (name, quota) in enumerate(sorted(config.quotas.items(), key=lambda kv: (-kv[1], kv[0]))):
         free = pool.where(F.col(library) == name)
-        if chosen is not None:
-            free = free.join(chosen.select(key), key, "left_anti")
-        n = F.row_number().over(Window.partitionBy(library).orderBy(seeded(F.concat_ws("|", F.col(library), F.col(key)), config.seed), F.col(key)))
-        part = free.withColumn("_n", n).where(F.col("_n") <= 2 * quota).withColumn("part", F.when(F.col("_n") <= quota, "dev").otherwise("holdout")).drop("_n")
-        chosen = part if chosen is None else chosen.unionByName(part)
+        if turn:
+            free = free.join(spark.read.schema(out).parquet(f"{folder}/taken").select(key), key, "left_anti")
+        part = F.when(F.col("_n") <= quota, "dev").otherwise("holdout")
+        free.withColumn("_n", order).where(F.col("_n") <= 2 * quota).withColumn("part", part).drop("_n").write.parquet(f"{folder}/taken/turn={turn}")
+    chosen = spark.read.schema(out).parquet(f"{folder}/taken")
     return chosen.select(key, F.col(library).alias("query_library"), "part", (F.col("_libs") - 1).alias("reference_library_count"), "query_spectrum_count", (F.col("_all") - F.col("query_spectrum_count")).alias("reference_spectrum_count"))
 
 

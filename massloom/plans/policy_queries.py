@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import catalog, policies, ranking, relational
+from ..operators import catalog, policies, ranking, relational, splits
 from ..sources.tables import table
 from . import queries as base
 from .queries import _r, query
@@ -189,3 +189,83 @@ def structure_index(spark, d):
 def mass_penalised_cosine(spark, d):
     score = policies.mass_penalised(vectors.cosine(F.col("qe"), F.col("re")), F.col("r") % 21 - 10, 0.01)
     return base._vector_pairs(spark, d).select("q", "r", _r(score, 5).alias("score"))
+
+
+# fingerprints: which elements of one vector are positive are bits, another vector's elements, squashed, the chances
+
+_BITS = "[(x > 0)::int FOR x IN a.embedding]"
+_CHANCES = "[1 / (1 + exp(-5 * x::double)) FOR x IN b.embedding]"
+_PRINTS = f"(SELECT a.vec_id AS r, b.vec_id AS q, {_BITS} AS s, {_CHANCES} AS p FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id % 20 = 0)"
+
+
+@query(f"""SELECT q, r, round(list_sum([z[1] * z[2] FOR z IN list_zip(s, p)]) / list_sum(s), 6) AS positive_mean, round(list_sum([least(z[1], z[2]) FOR z IN list_zip(s, p)]) / list_sum([greatest(z[1], z[2]) FOR z IN list_zip(s, p)]), 6) AS soft_jaccard,
+round(list_sum([ln(CASE WHEN z[1] = 1 THEN z[2] ELSE 1 - z[2] END) FOR z IN list_zip(s, p)]) / len(s), 6) AS log_likelihood, round(-list_sum([greatest(ln(CASE WHEN z[1] = 1 THEN z[2] ELSE 1 - z[2] END), -5) FOR z IN list_zip(s, p)]) / len(s), 6) AS cross_entropy FROM {_PRINTS}""")
+def fingerprint_scores(spark, d):
+    e = table(spark, d, "embeddings")
+    bits = F.transform("embedding", lambda x: (x > 0).cast("int"))
+    chance = F.transform("embedding", lambda x: 1 / (1 + F.exp(-5 * x.cast("double"))))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "label", chance.alias("p"))
+    pairs = q.join(e.select(F.col("vec_id").alias("r"), "label", bits.alias("s")), "label").where("q <> r")
+    s, p = F.col("s"), F.col("p")
+    scores = {"positive_mean": vectors.positive_mean(p, s), "soft_jaccard": vectors.soft_jaccard(s, p), "log_likelihood": vectors.log_likelihood(s, p), "cross_entropy": vectors.cross_entropy(s, p)}
+    return pairs.select("q", "r", *[_r(c).alias(name) for name, c in scores.items()])
+
+
+# two sources: scores of candidates of either mode that fit, and, for spectra without any, of all of the own label
+
+_EITHER = f"(SELECT DISTINCT q, r FROM {base._FITS})"
+_TWO_SOURCES = f"""(SELECT s.q % 50 AS query, s.r AS r, s.score, 1 AS n, 0 AS f FROM {base._SCORES} s JOIN {_EITHER} x ON s.q = x.q AND s.r = x.r
+UNION ALL SELECT q % 50, r, score, 0, 1 FROM {base._SCORES} WHERE q NOT IN (SELECT q FROM {_EITHER} JOIN {base._SCORES} USING (q, r)) AND r NOT IN (SELECT vec_id FROM {base._MASSES} WHERE mode = 'O'))"""
+
+
+@query(f"""SELECT query, r, score, n_filtered, n_fallback, row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST, r) AS rank FROM (
+SELECT query, r, max(score) AS score, sum(n)::bigint AS n_filtered, sum(f)::bigint AS n_fallback FROM {_TWO_SOURCES} GROUP BY ALL)""")
+def two_source_policy(spark, d):
+    """Cross-polarity fits beside a fallback without any spectrum of the opposite mode (here: none of mode O)."""
+    scores = base._scores(spark, d).select("q", "r", "score", (F.col("q") % 50).alias("query"))
+    q, r = base._sides(spark, d)
+    either = relational.band_join(q, r, "qm", "rm", 60.0).select("q", "r").distinct()
+    other = r.where("rs = 'O'").select("r")
+    merged = policies.two_source_scores(scores.join(either, ["q", "r"], "left_semi"), scores.join(other, "r", "left_anti"), "q", "r", "query")
+    ranked = relational.deterministic_rank(merged, ["query"], F.col("score"), "r")
+    return ranked.select("query", "r", "score", "n_filtered", "n_fallback", F.col("rank").cast("long").alias("rank"))
+
+
+_PLACED = "(SELECT l_suppkey AS query, l_partkey AS c, p_type AS formula, row_number() OVER (PARTITION BY l_suppkey ORDER BY v DESC, l_partkey) AS rank FROM (SELECT l_suppkey, l_partkey, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL) JOIN part ON p_partkey = l_partkey)"
+_TRUE_PART = "(SELECT l_suppkey AS query, min(l_partkey) AS truth FROM lineitem GROUP BY 1)"
+
+
+@query(f"""SELECT query, t.rank AS truth_rank, count(*) FILTER (x.rank < t.rank AND x.formula = t.formula)::bigint AS own_above, count(*) FILTER (x.rank < t.rank AND x.formula <> t.formula)::bigint AS intruders,
+count(DISTINCT x.formula) FILTER (x.rank < t.rank AND x.formula <> t.formula)::bigint AS intruding_formulas, 1 + count(*) FILTER (x.rank < t.rank AND x.formula = t.formula)::bigint AS oracle_formula_rank
+FROM {_PLACED} x JOIN (SELECT p.query, p.rank, p.formula FROM {_PLACED} p JOIN {_TRUE_PART} u ON u.query = p.query AND u.truth = p.c) t USING (query) GROUP BY query, t.rank""")
+def formula_intrusions(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("c"), "l_extendedprice")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("c"), F.col("p_type").alias("formula"))
+    scores = l.groupBy("query", "c").agg(F.max("l_extendedprice").alias("v")).join(part, "c")
+    truth = l.groupBy("query").agg(F.min("c").alias("truth")).join(part.withColumnsRenamed({"c": "truth", "formula": "truth_formula"}), "truth")
+    ranked = relational.deterministic_rank(scores, ["query"], F.col("v"), "c").join(truth, "query")
+    out = policies.intrusions(ranked, "query", "c", "rank", "formula", "truth", "truth_formula")
+    return out.select("query", F.col("truth_rank").cast("long").alias("truth_rank"), "own_above", "intruders", "intruding_formulas", "oracle_formula_rank")
+
+
+# seven libraries: the line numbers of parts
+
+_QUOTAS = {"1": 40, "2": 35, "3": 35, "4": 30, "5": 20, "6": 20, "7": 5}
+_LINES = "(SELECT l_partkey AS k, l_linenumber::varchar AS lib, count(*)::bigint AS n FROM lineitem GROUP BY ALL)"
+_LINE_POOL = f"(SELECT b.*, e.libs, e.total FROM {_LINES} b JOIN (SELECT k, count(*) AS libs, sum(n) AS total FROM {_LINES} GROUP BY k HAVING count(*) >= 2) e ON b.k = e.k)"
+
+
+def _chosen_sql() -> str:
+    parts, taken = [f"pool AS MATERIALIZED (SELECT * FROM {_LINE_POOL})"], []
+    for name, quota in sorted(_QUOTAS.items(), key=lambda kv: (-kv[1], kv[0])):
+        free = "".join(f" AND k NOT IN (SELECT k FROM t{t})" for t in taken)
+        parts.append(f"t{name} AS MATERIALIZED (SELECT *, CASE WHEN rn <= {quota} THEN 'dev' ELSE 'holdout' END AS part FROM (SELECT *, row_number() OVER (ORDER BY sha256('42:' || lib || '|' || k), k) AS rn FROM pool WHERE lib = '{name}'{free}) WHERE rn <= {2 * quota})")
+        taken.append(name)
+    each = " UNION ALL ".join(f"SELECT k, lib AS query_library, part, (libs - 1)::bigint AS reference_library_count, n AS query_spectrum_count, (total - n)::bigint AS reference_spectrum_count FROM t{t}" for t in taken)
+    return f"WITH {', '.join(parts)} {each}"
+
+
+@query(_chosen_sql())
+def retrieval_split_many(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_linenumber").cast("string").alias("lib"))
+    return splits.retrieval_split(rows, "k", "lib", splits.SplitConfig(_QUOTAS, 42, ()))

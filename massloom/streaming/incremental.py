@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import finite
 from ..operators.spectra import merge_scores
 
 
 def merge_stream(scores: DataFrame, keys: list[str]) -> DataFrame:
     """A streaming aggregate: the greatest score of each key so far (output mode update or complete)."""
-    return scores.groupBy(*keys).agg(F.max("score").alias("score"))
+    return scores.groupBy(*keys).agg(F.max(finite(F.col("score"))).alias("score"))
 
 
 def _exists(spark, path: str) -> bool:
