@@ -389,8 +389,12 @@ _FALLBACK = f"(SELECT s.q, s.r, s.score, false AS fallback FROM {_SCORES} s JOIN
 
 
 def _fallback(spark, d):
-    q, r = _sides(spark, d)
-    return spectra.mass_filter_with_fallback(q, r, _scores(spark, d).select("q", "r", "score"), "q", "r", 60.0, "qs", "qm", "rm", "rs")
+    """Pairs of one label are scored: those of a mode whose masses fit, or all of a query that nothing fits."""
+    m = _masses(spark, d)
+    q = m.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("mass").alias("qm"), F.col("mode").alias("qs"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
+    r = m.select(F.col("vec_id").alias("r"), F.col("mass").alias("rm"), F.col("mode").alias("rs"), F.col("label").alias("rl"), F.col("embedding").alias("re"))
+    score = F.round(vectors.dot(F.col("qe"), F.col("re")), 6)
+    return spectra.mass_filter_with_fallback(q, r, score, "q", "r", 60.0, "qs", "qm", "rm", "rs", [("ql", "rl")], F.col("q") != F.col("r"))
 
 
 @query(f"SELECT q, r, score, fallback FROM {_FALLBACK}")
@@ -502,17 +506,17 @@ def contingency_2x2(spark, d):
 
 
 def _two_ranks(spark, d):
-    """Suppliers of a nation by account balance, and parts' worth of deliveries; the second lacks some."""
+    """Suppliers of a nation by account balance, those in debt apart, and by deliveries, the richest apart."""
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("c"), "s_acctbal")
-    a = s.where("c % 7 <> 0").withColumn("prior_rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("s_acctbal"), "c")))
+    a = s.where("s_acctbal > 0").withColumn("prior_rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("s_acctbal"), "c")))
     l = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("c")).agg(F.sum("l_quantity").alias("v"))
-    b = s.join(l, "c").where("c % 5 <> 0").withColumn("other_rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("v"), "c")))
+    b = s.join(l, "c").where("s_acctbal < 8000").withColumn("other_rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("v"), "c")))
     return a.select("n", "c", "prior_rank"), b.select("n", "c", "other_rank")
 
 
 _TWO = """(SELECT coalesce(a.n, b.n) AS n, coalesce(a.c, b.c) AS c, prior_rank, other_rank FROM
-(SELECT s_nationkey AS n, s_suppkey AS c, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS prior_rank FROM supplier WHERE s_suppkey % 7 <> 0) a FULL JOIN
-(SELECT s_nationkey AS n, s_suppkey AS c, row_number() OVER (PARTITION BY s_nationkey ORDER BY v DESC, s_suppkey) AS other_rank FROM supplier JOIN (SELECT l_suppkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey WHERE s_suppkey % 5 <> 0) b ON a.n = b.n AND a.c = b.c)"""
+(SELECT s_nationkey AS n, s_suppkey AS c, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS prior_rank FROM supplier WHERE s_acctbal > 0) a FULL JOIN
+(SELECT s_nationkey AS n, s_suppkey AS c, row_number() OVER (PARTITION BY s_nationkey ORDER BY v DESC, s_suppkey) AS other_rank FROM supplier JOIN (SELECT l_suppkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey WHERE s_acctbal < 8000) b ON a.n = b.n AND a.c = b.c)"""
 _RRF = "(coalesce(1.0::double / (60 + prior_rank), 0) + coalesce(1.0::double / (60 + other_rank), 0))"
 
 
@@ -670,10 +674,10 @@ def training_leakage_filter(spark, d):
 
 # joins, sets, reports
 
-@query("SELECT coalesce(a.c_custkey, b.o_custkey) AS key, CASE WHEN a.c_custkey IS NULL THEN 'right_only' WHEN b.o_custkey IS NULL THEN 'left_only' ELSE 'both' END AS merge FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 3 = 0) b ON a.c_custkey = b.o_custkey")
+@query("SELECT coalesce(a.c_custkey, b.o_custkey) AS key, CASE WHEN a.c_custkey IS NULL THEN 'right_only' WHEN b.o_custkey IS NULL THEN 'left_only' ELSE 'both' END AS merge FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) b ON a.c_custkey = b.o_custkey")
 def outer_indicator(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"))
-    b = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("key")).distinct()
+    a = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
+    b = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("key")).distinct()
     return relational.indicator_join(a, b, ["key"]).withColumnRenamed("_merge", "merge")
 
 
