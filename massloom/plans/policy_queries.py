@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
-from ..operators import catalog, policies, ranking, relational, splits
+from ..functions import chem, vectors
+from ..operators import catalog, hypotheses, inference, policies, ranking, relational, splits
+from ..session import reach_workers
 from ..sources.tables import table
 from . import queries as base
 from .queries import _r, query
@@ -269,3 +270,51 @@ def _chosen_sql() -> str:
 def retrieval_split_many(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_linenumber").cast("string").alias("lib"))
     return splits.retrieval_split(rows, "k", "lib", splits.SplitConfig(_QUOTAS, 42, ()))
+
+
+# formula hypotheses in full: orders are spectra of their customer, line items their peaks, parts' formulas the index
+
+_SHIFTS = ", ".join(f"('{n}', {s!r}::double, {i})" for i, (n, s) in enumerate(chem.HYPOTHESIS_SHIFTS.items()))
+_HYP_SPECTRA = f"""(SELECT o_custkey AS molecule_id, o_orderkey AS row_id, coalesce(a.adduct, 'unknown') AS adduct, a.shift, o_orderstatus AS mode, o_totalprice % 600 AS mz, coalesce(u.n, 0) AS peaks
+FROM orders LEFT JOIN (VALUES {_SHIFTS}) a(adduct, shift, i) ON a.i = o_orderkey % 9 LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1) u ON u.l_orderkey = o_orderkey)"""
+_HYP_CHOSEN = f"(SELECT *, mz - shift AS mass, CASE WHEN p THEN 'primary_hplus' ELSE 'fallback_supported_adduct' END AS reason FROM (SELECT *, bool_or(adduct = '[M+H]+') OVER (PARTITION BY molecule_id) AS p FROM {_HYP_SPECTRA}) WHERE CASE WHEN p THEN adduct = '[M+H]+' ELSE shift IS NOT NULL END)"
+_HYP_INDEX = f"(SELECT formula, min(mass) AS fm FROM (SELECT {base._FORMULA_SQL} AS formula, {base._MASS_SQL} AS mass FROM part) WHERE mass IS NOT NULL GROUP BY formula)"
+_HYP_MATCHES = f"(SELECT c.*, x.formula, x.fm, (c.mass - x.fm) / x.fm * 1e6 AS e FROM {_HYP_CHOSEN} c JOIN {_HYP_INDEX} x ON c.mass > 0 AND x.fm BETWEEN c.mass * (1 - 1e-4) AND c.mass * (1 + 1e-4))"
+
+
+@query(f"""WITH m AS MATERIALIZED (SELECT * FROM {_HYP_MATCHES}), s AS (SELECT molecule_id, formula, count(DISTINCT row_id) AS k, min(abs(e)) AS least FROM m GROUP BY ALL), t AS (SELECT molecule_id, count(DISTINCT row_id) AS n FROM {_HYP_CHOSEN} GROUP BY 1),
+r AS (SELECT m.*, s.k, s.least, t.n, row_number() OVER (PARTITION BY m.molecule_id ORDER BY least, m.formula) - 1 AS number FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY molecule_id, formula ORDER BY peaks > 0 DESC, abs(e), peaks DESC, row_id) = 1) m JOIN s USING (molecule_id, formula) JOIN t USING (molecule_id))
+SELECT molecule_id, row_id AS source_test_row_id, 's' || row_id AS source_spectrum_id, 's' || row_id AS selected_spectrum_id, adduct AS selected_adduct, mode AS selected_ionization_mode, reason AS selection_reason, mz AS precursor_mz, mz AS selected_precursor_mz, round(mass, 6) AS neutral_mass,
+formula AS molecular_formula, formula AS candidate_formula, round(fm, 6) AS formula_monoisotopic_mass, round(e, 3) AS selected_mass_error_ppm, round(abs(e), 3) AS selected_abs_mass_error_ppm, peaks > 0 AS mist_processable, peaks::bigint AS mist_usable_peak_count, k::bigint AS spectrum_support_count, n::bigint AS selected_spectrum_count,
+round(k::double / n, 6) AS spectrum_support_fraction, round(least, 3) AS min_abs_mass_error_ppm, molecule_id || '__formula_' || lpad(number::varchar, 4, '0') AS hypothesis_spec FROM r""")
+def formula_hypotheses_in_full(spark, d):
+    """100 ppm wide, as few parts have a formula near an order's price."""
+    names = F.array(*[F.lit(n) for n in chem.HYPOTHESIS_SHIFTS])
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    usable = table(spark, d, "lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    rows = o.join(usable, "o_orderkey", "left").select(
+        F.col("o_custkey").alias("molecule_id"), key.alias("source_test_row_id"), F.concat(F.lit("s"), key).alias("spectrum_id"), F.coalesce(F.get(names, (key % 9).cast("int")), F.lit("unknown")).alias("adduct"),
+        F.col("o_orderstatus").alias("ionization_mode"), (F.col("o_totalprice") % 600).alias("precursor_mz"), F.coalesce("n", F.lit(0)).cast("long").alias("mist_usable_peak_count"),
+    )
+    parts = base._parts(spark, d).where("mass is not null").groupBy(F.col("formula").alias("molecular_formula")).agg(F.min("mass").alias("monoisotopic_mass"))
+    out = hypotheses.formula_hypotheses_in_full(rows, parts, 100.0)
+    rounded = {c: 6 for c in ("neutral_mass", "formula_monoisotopic_mass", "spectrum_support_fraction")} | {c: 3 for c in ("selected_mass_error_ppm", "selected_abs_mass_error_ppm", "min_abs_mass_error_ppm")}
+    return out.select(*[_r(c, rounded[c]).alias(c) if c in rounded else F.col(c) for c in out.columns])
+
+
+# a network of two layers: the labels' mean vectors, then two units that weigh them
+
+@query("""WITH c AS (SELECT label, list(v ORDER BY i) AS w FROM (SELECT label, i, avg(e[i]::double) AS v FROM (SELECT label, embedding AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL) GROUP BY label),
+n AS (SELECT w, row_number() OVER (ORDER BY label) - 1 AS h FROM c), x AS (SELECT vec_id, h, greatest(list_inner_product(embedding::double[], w) + 0.1, 0) AS x FROM embeddings, n)
+SELECT vec_id, round(1 / (1 + exp(-sum(CASE WHEN h % 2 = 0 THEN x ELSE -x END / (1 + h)))), 6) AS even, round(1 / (1 + exp(-sum(CASE WHEN h % 2 = 1 THEN x ELSE -x END / (1 + h)))), 6) AS odd FROM x GROUP BY vec_id""")
+def network_inference(spark, d):
+    reach_workers(spark)
+    e = table(spark, d, "embeddings")
+    means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    first = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("weights"))
+    first = policies.dense_ids(first, "label", "unit").select(F.lit(0).alias("layer"), F.col("unit").cast("int").alias("unit"), "weights", F.lit(0.1).alias("bias"))
+    sign = lambda u: F.when(F.col("unit") % 2 == u, 1.0).otherwise(-1.0) / (1 + F.col("unit"))
+    second = first.agg(*[F.array_sort(F.collect_list(F.struct("unit", sign(u).alias("w"))))["w"].alias(f"w{u}") for u in (0, 1)])
+    second = second.select(F.inline(F.array(*[F.struct(F.lit(1).alias("layer"), F.lit(u).alias("unit"), F.col(f"w{u}").alias("weights"), F.lit(0.0).alias("bias")) for u in (0, 1)])))
+    out = inference.predict(e, "embedding", inference.load_layers(first.unionByName(second)))
+    return out.select("vec_id", _r(F.get("chances", 0)).alias("even"), _r(F.get("chances", 1)).alias("odd"))
