@@ -2,13 +2,14 @@
 
 Base patterns find assignments of long values to telling names, access key ids and long hexadecimal runs. The lexer adds
 what patterns miss: it reads a text as source or configuration (names, strings, numbers, operators, comments), makes
-name-literal pairs from assignments (name = "x", name: x, "name": "x", key "x" => ...), joins adjacent and added string
+name-literal pairs from assignments (name = "x", name: x, name: type = "x", "name": "x", key "x" => ...; the results of calls and elements of
+arrays are no literals), joins adjacent and added string
 literals, propagates constants (b = a gives b the literal of a, in order of the text), and scores each literal by how
 sensitive its target's name is and how random the literal looks. A value that several parts build up keeps the places of
 all of them, by reference, so that constants that double do not; its look is judged by its first VALUE characters. Pairs of score SCORE or more become spans of kind lexed.
 
 Edge cases: a null text is empty; repeated rows are scanned alike; spans that begin alike stand in the order of KINDS;
-an unclosed comment is read as text, very long texts in time proportional to their length; names that clash don't matter, only id and text are
+an unclosed comment or quote is read as text, very long texts in time proportional to their length; names that clash don't matter, only id and text are
 read; an empty table gives an empty result. Texts are read whole; a text without any trigger costs one search.
 """
 
@@ -50,6 +51,12 @@ LEX = re.compile(
     re.A | re.S,
 )
 BARE = re.compile(r"[^\s,;\"'`(){}\[\]]+")
+#: What a quote that nothing closes runs through: no later quote of its kind before that end is closed either.
+UNCLOSED = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+", re.S) for q in "\"'"}
+#: Letters before a quote that say what kind of string it is.
+PREFIXES = {"f", "r", "b", "u", "rb", "br", "fr", "rf"}
+#: Tokens of a type between a name's colon and its equals sign.
+TYPE = 12
 
 
 def base_spans(text: str) -> list[Span]:
@@ -96,8 +103,14 @@ def score(name: str, literal: str) -> float:
 
 
 def tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
-    at, last = 0, text.rfind("*/")
-    while m := LEX.match(text, at):
+    at, last, open_to = 0, text.rfind("*/"), {q: 0 for q in UNCLOSED}
+    while at < len(text):
+        if at < open_to.get(text[at], 0):
+            at += 1
+            continue
+        m = LEX.match(text, at)
+        if m.lastgroup == "other" and m[0] in UNCLOSED:
+            open_to[m[0]] = UNCLOSED[m[0]].match(text, m.end()).end()
         at = m.end()
         if m.lastgroup == "open":
             if at <= last:  # a comment that ends; else its two signs are text
@@ -106,6 +119,23 @@ def tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
             yield m.lastgroup, m[0], m.start(), m.end()
 
 
+def value_at(toks: list, i: int) -> int | None:
+    """Where the value of the name at i begins: behind =, :, := or =>, or behind a type (name: type = value)."""
+    if i + 2 >= len(toks) or toks[i + 1][1] not in ("=", ":", ":=", "=>"):
+        return None
+    if toks[i + 1][1] == ":":
+        depth, last = 0, None
+        for j in range(i + 2, min(i + 2 + TYPE, len(toks) - 1)):
+            kind, value, _, _ = toks[j]
+            if value == "=" and depth == 0 and last:
+                return j + 1
+            depth += (value == "[") - (value == "]")
+            if not (value in ("[", "]") or (kind == "name" and last != "name") or (value == "," and depth > 0)):
+                break
+            last = kind if value != "]" else "]"
+    return i + 2
+
+
 def pairs(text: str) -> list[tuple[str, str, list]]:
     """(name, literal, sources) of the text's assignments in order; constants stand for the literals they hold.
 
@@ -122,17 +152,19 @@ def pairs(text: str) -> list[tuple[str, str, list]]:
                 continue
         else:
             continue
-        if i + 2 >= len(toks) or toks[i + 1][1] not in ("=", ":", ":=", "=>"):
-            continue
-        j, literal, sources, end = i + 2, "", [], -1
-        while j < len(toks):
+        j, literal, sources, end = value_at(toks, i), "", [], -1
+        while j is not None and j < len(toks):
             k, v, a, b = toks[j]
+            after = toks[j + 1] if j + 1 < len(toks) else (None, None, None, None)
+            if k == "name" and after[0] == "string" and after[2] == b and v.lower() in PREFIXES:
+                j += 1
+                continue
             if k == "string":
                 part, where, to = v[1:-1], (a, b), b
             elif k == "name" and v in known and not (j + 1 < len(toks) and toks[j + 1][1] in ("=", ":", "(")):
                 part, where = known[v]
                 to = b
-            elif k in ("name", "number") and not sources:
+            elif k in ("name", "number") and not sources and not (after[1] in ("(", "[") and after[2] == b):  # a call or an element is no literal
                 part = BARE.match(text, a)[0]  # an unquoted value of a configuration file
                 where, to = (a, a + len(part)), max(b, a + len(part))
                 if part[-1] in ":=":  # the next pair's name

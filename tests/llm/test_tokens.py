@@ -187,6 +187,14 @@ def test_base_spans_match_plain_patterns(spark):
         ('title = "Zx9Qp2Lm8Rt5"', []),
         ('# password = "Zx9Qp2Lm8Rt5"', []),
         ("just a key to the token of the garden", []),
+        ('const apiKey: string = "aB3xK9mQ2zR7"', ['"aB3xK9mQ2zR7"']),
+        ('api_key: Optional[str] = "aB3xK9mQ2zR7"', ['"aB3xK9mQ2zR7"']),
+        ('let token: &str = "aB3xK9mQ2zR7";', ['"aB3xK9mQ2zR7"']),
+        ('clientSecret = f"aB3xK9mQ2zR7"', ['"aB3xK9mQ2zR7"']),
+        ('db_pwd: abcd1234efgh, other = "x"', ["abcd1234efgh"]),
+        ('db_pwd = os.environ.get("HOME_OF_9zQ2")', []),
+        ("db_pwd = creds_aB3xK9mQ2zR7[0]", []),
+        (r'db_pwd = "Zx9Qp2\"Lm8Rt5"', [r'"Zx9Qp2\"Lm8Rt5"']),
     ],
 )
 def test_lexing(text, literals):
@@ -218,3 +226,15 @@ def test_unclosed_comments_take_linear_time():
         assert time.time() - began < 5
     assert secrets.lexed_spans("/* a = b */ db_pwd = 'Zx9Qp2Lm8Rt5' /* x") != []
     assert secrets.lexed_spans("/* db_pwd = 'Zx9Qp2Lm8Rt5' */ token") == []
+
+
+def test_quotes_that_nothing_closes_take_linear_time():
+    took = []
+    for n in (8_000, 16_000):
+        texts = ["password = " + '\\"' * n, "password = " + "\\'" * n + '\\"' * n, 'token = "' + "\\\\" * n]
+        began = time.time()
+        for text in texts * 3:
+            secrets.scan(text)
+        took.append(time.time() - began)
+    assert took[1] < 2.5 * took[0] + 0.2, took
+    assert [t[1] for t in secrets.tokens('a \\" b "c" \'d\n"e"') if t[0] == "string"] == ['" b "', '"e"']
