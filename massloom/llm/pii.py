@@ -6,13 +6,16 @@ brackets. A surrogate comes from a keyed permutation (a Feistel network over the
 one entity has one surrogate everywhere (coreference) and two entities of a format have two (distinctness), with no table
 to share. Digits stay digits, letters keep case and script, Luhn-valid cards stay valid and others invalid, country codes
 stay, and so do the domains reserved for examples; other domains change like their mailboxes, but for the last label.
-Given names keep gender and script, and parts of a name map one by one, so a later surname still refers.
+Given names keep gender and script, and parts of a name map one by one. Every other mention of a found part in the same
+document, as a word of its own (anywhere in scripts without capitals), is replaced as well, so that a later surname still
+refers and doesn't give the name away. Letters beyond the listed classes change among those of their Unicode row and case.
 
 Collision checks make that hold over the whole corpus: the distinct entities are a distributed table; a surrogate that
 equals an original entity, or another entity's surrogate, of any kind that is written alike, is drawn again until none
 collides. A draw takes the next tweak of the permutation; every TRIES tweaks the domain grows by a character (given names
 leave their list first), so that a corpus that uses a whole domain is served too; IPv4 addresses can't grow and may equal
-an original after TRIES draws, but never another's surrogate. Only entities that collide are drawn again.
+an original from the second draw on, but never another's surrogate. Only entities that collide are drawn again. Whole
+values are checked: a surrogate's domain alone may be that of another mailbox.
 
 Edge cases: null and empty texts stay; repeated rows get the same surrogates; overlapping finds go to the earliest, then
 longest; of entities that draw one surrogate the least kind and value keeps it; very long texts are scanned whole; an
@@ -21,10 +24,13 @@ empty table gives an empty result; all other columns pass through, working colum
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +52,9 @@ GIVEN = {
 }
 _GENDER = {n: k for k, names in GIVEN.items() for n in names}
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Dr": "", "Prof": ""}
-_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+"
+#: Signs that stand within words: combining ones, and those of the Indic rows.
+_INNER = "(?:[^\\W\\d_]|[\u0300-\u036f\u0900-\u0dff])"
+_CAPITAL = rf"[^\W\d_a-zß-öø-ÿа-я]{_INNER}+"
 NAME = re.compile(rf"\b(?:({'|'.join(TITLES)})\.? +({_CAPITAL})(?: ({_CAPITAL}))?|({'|'.join(_GENDER)}) ({_CAPITAL}))(?!\w)")
 NAME_HINT = re.compile(rf"\b(?:{'|'.join(TITLES)})\b|\b(?:{'|'.join(_GENDER)}) ")
 #: Words that introduce a name, and names that an address in brackets follows.
@@ -55,6 +63,9 @@ CUE_HINT = re.compile(r"(?i)name is|name:|signed|contact|sincerely|regards|autho
 
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))), "".join(map(chr, range(0x3B1, 0x3CA))))
 _CLASS = {c: x for x in CLASSES for c in x}
+#: Capitalised words that follow a cue and are no names.
+STOP = set("A An And At Best Customer Dear Department For From Hello Here Hi I If In Info It Kind Many Me My No Office On Or Our Please Sales Service Sir Support Team Thank Thanks That The Their They This To Us We With Yes You Your Yours".split())
+WORDS = re.compile(rf"{_INNER}+")
 RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|net|org)|example|test|invalid)$")
 
 #: Draws from a domain before it grows.
@@ -65,6 +76,15 @@ MAX_SENT = 200_000
 Entity = tuple[str, int, int, str]  # kind, start, end, canonical value
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def class_of(c: str) -> str | None:
+    """The characters that one changes among: a listed class, or the other letters of its 128 code points, script and category."""
+    if c in _CLASS or not c.isalpha():
+        return _CLASS.get(c)
+    row, kind = ord(c) & ~0x7F, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(row, row + 0x80)) if unicodedata.category(x) == kind and _script(x) == _script(c) and x not in _CLASS)
+
+
 def permute(x: int, n: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 to n - 1: a Feistel network over the next even power of two, walked until inside."""
     if n < 2:
@@ -85,13 +105,13 @@ def permute_text(text: str, key: bytes, tweak: str) -> str:
     """Characters change within their class (digits, letters of a case and script), others stay; a bijection by format."""
     x, n = 0, 1
     for c in text:
-        of = _CLASS.get(c)
+        of = class_of(c)
         if of:
             x, n = x * len(of) + of.index(c), n * len(of)
-    shape = "".join(c if c not in _CLASS else chr(0xE000 + CLASSES.index(_CLASS[c])) for c in text)
+    shape = "".join(chr(0xE000 + CLASSES.index(of)) if of in CLASSES else of[0] if of else c for c, of in zip(text, map(class_of, text)))
     x, out = permute(x, n, key, f"{tweak}:{shape}"), []
     for c in reversed(text):
-        of = _CLASS.get(c)
+        of = class_of(c)
         if of:
             x, k = divmod(x, len(of))
             c = of[k]
@@ -138,7 +158,7 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int = 0) -> str:
 
 def _grown(value: str, more: int) -> str:
     """value with so many characters more, of the class of its last letter or digit."""
-    last = next((_CLASS[c] for c in reversed(value) if c in _CLASS), CLASSES[1])
+    last = next(filter(None, map(class_of, reversed(value))), CLASSES[1])
     return value + last[0] * max(0, more)
 
 
@@ -149,7 +169,8 @@ def domain_surrogate(domain: str, key: bytes) -> str:
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "latin"
+    """latin, cyrillic, hangul, ...: the first word of the first letter's Unicode name."""
+    return unicodedata.name(name[0], "unknown").split()[0].lower()
 
 
 def detect(text: str | None) -> list[Entity]:
@@ -190,10 +211,19 @@ def detect(text: str | None) -> list[Entity]:
     if CUE_HINT.search(text):
         for m in CUED.finditer(text):
             for part in re.finditer(_CAPITAL, m[0][(m.start(1) if m[1] else m.start(3)) - m.start() :]):
+                if part[0] in STOP:
+                    break
                 at = (m.start(1) if m[1] else m.start(3)) + part.start()
                 kind = f"given:{_script(part[0])}:{_GENDER[part[0]][1]}" if part[0] in _GENDER else f"name:{_script(part[0])}"
                 found.append((kind, at, at + len(part[0]), part[0]))
     found.sort(key=lambda e: (e[1], -e[2]))
+    out = _apart(found)
+    more = _mentioned(text, out)
+    return _apart(sorted(out + more, key=lambda e: (e[1], -e[2]))) if more else out
+
+
+def _apart(found: list[Entity]) -> list[Entity]:
+    """The entities, sorted by start, that overlap none before them."""
     out: list[Entity] = []
     for e in found:
         if not out or e[1] >= out[-1][2]:
@@ -201,6 +231,33 @@ def detect(text: str | None) -> list[Entity]:
     return out
 
 
+def _mentioned(text: str, found: list[Entity]) -> list[Entity]:
+    """Other mentions of the found name parts, none of which overlaps a found entity: one pass over the text's words, and
+    one for parts in scripts without capitals, which need not stand as words."""
+    kinds: dict[str, str] = {}
+    for kind, _, _, value in found:
+        if kind.startswith(("given:", "name:")):
+            kinds.setdefault(value, kind)
+    if not kinds:
+        return []
+    out = [(kinds[m[0]], m.start(), m.end(), m[0]) for m in WORDS.finditer(text) if m[0] in kinds]
+    plain = [v for v in kinds if v[0].lower() == v[0].upper()]
+    if plain:
+        search = ahocorasick.Automaton()
+        for v in plain:
+            search.add_word(v, v)
+        search.make_automaton()
+        out += [(kinds[v], end + 1 - len(v), end + 1, v) for end, v in search.iter(text)]
+    out = _apart(sorted(set(out), key=lambda e: (e[1], -e[2])))
+    kept, k = [], 0
+    for e in out:  # both in order of start, neither overlaps itself
+        while k < len(found) and found[k][2] <= e[1]:
+            k += 1
+        if k == len(found) or found[k][1] >= e[2]:
+            kept.append(e)
+    return kept
+
+
 def _in_format(kind: str, original: str, new: str) -> str:
     """A canonical surrogate in the original's format."""
     if kind in ("phone", "card"):

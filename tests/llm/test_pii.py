@@ -78,6 +78,42 @@ def test_names_beyond_the_list():
     assert pii.detect("The Great Wall and the Old Town. Contact us: soon.") == []
 
 
+def test_nothing_found_stands_in_its_document():
+    """Over scripts: no detected value, nor any mention of a name's part, is left in the text."""
+    names = ["王小明", "محمد", "김민수", "Łukasz Żak", "Šimůnek", "Αλέξανδρος Παπαδόπουλος", "דוד כהן", "Þórður", "प्रियंका", "Иван Петров", "สมชาย", "Jürgen Groß", "ნინო", "Nguyễn"]
+    texts = [cue.format(n) + f" Later {n.split()[-1]} wrote again, and {n.split()[0]}, too." for n in names for cue in ("Name: {}.", "Signed, {}", "Author: {}")]
+    texts += ["Mr Smith came. Later Smith said no; Smithson did not.", "Mr Šimůnek left. Šimůnek!", "王小明说好。 Name: 王小明 和王小明们"]
+    for text in texts:
+        found = pii.detect(text)
+        assert len(found) >= 2, text
+        for key in (KEY, b"another", b"third"):
+            out = pii.replace(text, key)[0]
+            assert not any(re.search(rf"(?<!\w){re.escape(v)}(?!\w)" if v[0].lower() != v[0].upper() else re.escape(v), out) for _, _, _, v in found), (text, out)
+            for _, _, _, v in found:
+                new = pii.surrogate(next(k for k, *_, x in found if x == v), v, key)
+                assert len(new) == len(v) or v in pii._GENDER
+                assert pii._script(new) == pii._script(v) and not any(a == b for a, b in [(v, new)])
+    assert "Smithson" in pii.replace(texts[-3], KEY)[0]
+
+
+def test_cues_are_not_followed_by_names_only():
+    for text in ("Regards, The Team", "Contact: Please write to us", "Best regards, Your Customer Service", "Sincerely, Team Support"):
+        assert pii.detect(text) == []
+    assert [e[3] for e in pii.detect("Kind regards, Priya Patel The end")] == ["Priya", "Patel"]
+
+
+def test_many_names_in_a_long_text_take_linear_time():
+    import time
+
+    took = []
+    for n in (2_000, 8_000):
+        text = "".join(f"Mr Aa{pii.permute_text('abcdef', KEY, str(k))} met 王{chr(0x4E00 + k)}. Name: 李{chr(0x4E00 + k)}\n" for k in range(n))
+        began = time.time()
+        assert len(pii.detect(text)) >= 2 * n
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1, took
+
+
 def brute(entities):
     """Surrogates by rounds over a plain table."""
     space = lambda k: "name" if k.startswith(("given:", "name:")) else k
