@@ -58,3 +58,28 @@ def formula_hypotheses_in_full(spectra: DataFrame, index: DataFrame, tolerance:
         "hypothesis_spec": F.format_string("%s__formula_%04d", F.col("molecule_id").cast("string"), number),
     }
     return out.withColumns(named).select(*COLUMNS)
+
+
+def tolerance_recall(spectra: DataFrame, index: DataFrame, tolerances: tuple[float, ...]) -> DataFrame:
+    """A row a tolerance: of the structures with a truth in the index and a usable spectrum, how many have it among the
+    formulas that any of their spectra fits, how many of these not at the tolerance before, and the formulas to look at.
+
+    spectra: structure, molecular_formula, neutral_mass. A structure's truth is its most frequent formula, ties to the
+    least. The band join runs once, at the widest tolerance; each (structure, formula) keeps the least tolerance it needs.
+    """
+    named = spectra.where("molecular_formula is not null").groupBy("structure", "molecular_formula").agg(F.count("*").alias("_n"))
+    truth = dedupe_first(named, ["structure"], [F.desc("_n"), F.asc("molecular_formula")]).select("structure", F.col("molecular_formula").alias("_truth"))
+    known = truth.join(index.select(F.col("molecular_formula").alias("_truth")).distinct(), "_truth", "left_semi")
+    usable = spectra.where(finite(F.col("neutral_mass").cast("double")).isNotNull()).select("structure", "neutral_mass").join(known, "structure")
+    near = band_join(usable, index.select("molecular_formula", F.col("monoisotopic_mass").alias("_mass")), "neutral_mass", "_mass", max(tolerances), how="ppm")
+    needed = near.groupBy("structure", "_truth", "molecular_formula").agg(F.min(F.abs(F.col("_mass") - F.col("neutral_mass")) / F.col("neutral_mass") * 1e6).alias("_need"))
+    hit, within = F.max(F.when(F.col("molecular_formula") == F.col("_truth"), F.col("_need"))), lambda t: F.count_if(F.col("_need") <= t)
+    each = usable.select("structure").distinct().join(needed.groupBy("structure").agg(hit.alias("_hit"), *[within(t).alias(f"_c{k}") for k, t in enumerate(tolerances)]), "structure", "left")
+    before = lambda k: (F.col("_hit") > tolerances[k - 1]) if k else F.lit(True)
+    sums = each.agg(
+        F.count("*").alias("structures"),
+        *[F.count_if(F.col("_hit") <= t).alias(f"_h{k}") for k, t in enumerate(tolerances)], *[F.count_if((F.col("_hit") <= t) & before(k)).alias(f"_r{k}") for k, t in enumerate(tolerances)],
+        *[F.sum(F.coalesce(f"_c{k}", F.lit(0))).alias(f"_s{k}") for k in range(len(tolerances))], *[F.max(F.coalesce(f"_c{k}", F.lit(0))).alias(f"_m{k}") for k in range(len(tolerances))],
+    )
+    row = lambda k, t: F.struct(F.lit(float(t)).alias("tolerance"), F.col("structures"), F.col(f"_h{k}").alias("hits"), F.col(f"_r{k}").alias("recovered"), F.try_divide(F.col(f"_h{k}"), F.col("structures")).alias("recall"), F.try_divide(F.col(f"_s{k}"), F.col("structures")).alias("mean_candidates"), F.col(f"_m{k}").alias("most_candidates"))
+    return sums.select(F.inline(F.array(*[row(k, t) for k, t in enumerate(tolerances)])))

@@ -318,3 +318,22 @@ def network_inference(spark, d):
     second = second.select(F.inline(F.array(*[F.struct(F.lit(1).alias("layer"), F.lit(u).alias("unit"), F.col(f"w{u}").alias("weights"), F.lit(0.0).alias("bias")) for u in (0, 1)])))
     out = inference.predict(e, "embedding", inference.load_layers(first.unionByName(second)))
     return out.select("vec_id", _r(F.get("chances", 0)).alias("even"), _r(F.get("chances", 1)).alias("odd"))
+
+
+# recall by tolerance: a line item is a spectrum of its order, its part's mass off by up to 20 ppm as its discount says
+
+_TOLERANCES = (2.0, 5.0, 10.0, 20.0)
+_NOISY = f"(SELECT l_orderkey AS structure, formula, mass * (1 + (l_discount - 0.05) * 4e-4) AS m FROM lineitem JOIN (SELECT p_partkey, {base._FORMULA_SQL} AS formula, {base._MASS_SQL} AS mass FROM part) ON p_partkey = l_partkey)"
+
+
+@query(f"""WITH s AS MATERIALIZED (SELECT * FROM {_NOISY}), x AS MATERIALIZED (SELECT * FROM {_HYP_INDEX}), tr AS (SELECT structure, formula AS truth FROM (SELECT structure, formula, count(*) AS n FROM s GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY structure ORDER BY n DESC, formula) = 1),
+u AS MATERIALIZED (SELECT s.structure, m, truth FROM s JOIN tr USING (structure) WHERE m IS NOT NULL AND truth IN (SELECT formula FROM x)), need AS (SELECT structure, truth, formula, min(abs(fm - m) / m * 1e6) AS need FROM u JOIN x ON fm BETWEEN m * (1 - 2e-5) AND m * (1 + 2e-5) GROUP BY ALL),
+t AS (SELECT unnest({list(_TOLERANCES)}) AS tolerance, unnest({[0.0, *_TOLERANCES[:-1]]}) AS earlier), per AS (SELECT tolerance, earlier, structure, count(*) FILTER (need <= tolerance) AS c, max(CASE WHEN formula = truth THEN need END) AS hit FROM need, t GROUP BY ALL), n AS (SELECT count(DISTINCT structure) AS n FROM u)
+SELECT tolerance::double AS tolerance, n.n AS structures, count(*) FILTER (hit <= tolerance)::bigint AS hits, count(*) FILTER (hit <= tolerance AND (earlier = 0 OR hit > earlier))::bigint AS recovered, round(count(*) FILTER (hit <= tolerance)::double / n.n, 6) AS recall, round(sum(c)::double / n.n, 6) AS mean_candidates, max(c)::bigint AS most_candidates FROM per, n GROUP BY tolerance, earlier, n.n""")
+def tolerance_recall(spark, d):
+    parts = base._parts(spark, d)
+    l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_discount")
+    spectra = l.join(parts, "p_partkey").select(F.col("l_orderkey").alias("structure"), F.col("formula").alias("molecular_formula"), (F.col("mass") * (1 + (F.col("l_discount") - 0.05) * 4e-4)).alias("neutral_mass"))
+    index = parts.where("mass is not null").groupBy(F.col("formula").alias("molecular_formula")).agg(F.min("mass").alias("monoisotopic_mass"))
+    out = hypotheses.tolerance_recall(spectra, index, _TOLERANCES)
+    return out.select("tolerance", "structures", "hits", "recovered", _r("recall").alias("recall"), _r("mean_candidates").alias("mean_candidates"), "most_candidates")

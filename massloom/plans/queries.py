@@ -340,12 +340,13 @@ def tanimoto_prior(spark, d):
 
 
 @query(f"""SELECT q, round(max(similarity), 6) AS max_similarity, round(avg(similarity), 6) AS mean_similarity, round(avg(CASE WHEN n <= 3 THEN similarity END), 6) AS top3_mean, round(avg(CASE WHEN n <= 5 THEN similarity END), 6) AS top5_mean,
-count(*) FILTER (similarity >= 0.3)::bigint AS count_ge_03, count(*) FILTER (similarity >= 0.5)::bigint AS count_ge_05, max(CASE WHEN n = 1 THEN r END) AS best_neighbor
+count(*) FILTER (similarity >= 0.3)::bigint AS count_ge_03, count(*) FILTER (similarity >= 0.5)::bigint AS count_ge_05, count(*) FILTER (similarity >= 0.7)::bigint AS count_ge_07, max(CASE WHEN n = 1 THEN r END) AS best_neighbor,
+round(sum(similarity * g) / sum(g), 4) AS weighted_mean, round(max(CASE WHEN n = 1 THEN g END), 6) AS best_neighbor_score
 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, r) AS n FROM {_TANIMOTO}) GROUP BY q""")
 def neighbor_features(spark, d):
     pairs = _word_pairs(spark, d).select("q", F.lit(0).alias("c"), F.col("r").alias("neighbor"), "similarity", "spectral_score")
     out = ranking.neighbor_features(pairs, "q", "c")
-    return out.select("q", *[_r(c).alias(c) for c in ("max_similarity", "mean_similarity", "top3_mean", "top5_mean")], "count_ge_03", "count_ge_05", "best_neighbor")
+    return out.select("q", *[_r(c).alias(c) for c in ("max_similarity", "mean_similarity", "top3_mean", "top5_mean")], "count_ge_03", "count_ge_05", "count_ge_07", "best_neighbor", _r("weighted_mean", 4).alias("weighted_mean"), _r("best_neighbor_score").alias("best_neighbor_score"))
 
 
 @query(f"SELECT label, r, round(max(score), 6) AS score FROM (SELECT a.label AS label, b.vec_id AS r, {_DOT} AS score FROM {_VECTOR_PAIRS}) GROUP BY ALL")

@@ -72,3 +72,11 @@ def test_models_that_do_not_fit_are_errors(spark):
         inference.load_layers(one, 3)
     with pytest.raises(ValueError, match="layer 0"):
         inference.load_layers(one.where("layer = 0").withColumn("unit", F.lit(1)))
+
+
+def test_recall_by_tolerance(spark, index):
+    rows = [(1, "A", 100.0), (1, "A", 100.0003), (1, "B", 100.0003), (2, "C", 200.003), (2, "C", None), (3, "odd", 100.0), (4, "C", float("nan")), (5, "A", 150.0), (6, None, 100.0)]
+    got = hypotheses.tolerance_recall(spark.createDataFrame(rows, "structure long, molecular_formula string, neutral_mass double"), index, (2.0, 10.0, 20.0)).collect()
+    # 1: A exactly, B from the second spectrum; 2: 15 ppm off; 3: not in the index; 4: no usable spectrum; 5: fits nothing; 6: no truth
+    assert [(r.tolerance, r.structures, r.hits, r.recovered, r.most_candidates) for r in got] == [(2.0, 3, 1, 1, 2), (10.0, 3, 1, 0, 2), (20.0, 3, 2, 1, 2)]
+    assert [round(r.mean_candidates, 6) for r in got] == [round(2 / 3, 6), round(2 / 3, 6), 1.0]
