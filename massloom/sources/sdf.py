@@ -16,7 +16,7 @@ SMILES_TAGS = ("PUBCHEM_OPENEYE_ISO_SMILES", "PUBCHEM_OPENEYE_CAN_SMILES", "PUBC
 
 
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """(record): one row a record; gz files are read as they are, each by one task."""
+    """(record): one row a record. Plain files are split at records and read by several tasks, gz files each by one."""
     return spark.read.option("lineSep", "$$$$\n").text(path).where(F.trim("value") != "").select(F.col("value").alias("record"))
 
 
@@ -37,6 +37,20 @@ def matching_candidates(records: DataFrame, formulas: DataFrame, formula: str =
     return dedupe_first(found, [formula, "inchikey14"], [F.asc_nulls_last("pubchem_cid"), F.asc("full_inchikey"), F.asc("smiles")])
 
 
+def extraction_statistics(records: DataFrame, formulas: DataFrame, formula: str = "molecular_formula") -> DataFrame:
+    """One row: records_seen, invalid_records (without any data item), matched_records (those of the formulas with key and
+    text) and unique_candidates, the rows that matching_candidates keeps. One pass over the records."""
+    of = lambda tags: first_property(*[tag(F.col("record"), t) for t in tags])
+    valid = F.col("record").rlike("(?m)^> *.*<[^>\n]+>")
+    rows = records.select(valid.alias("_valid"), of(FORMULA_TAGS).alias(formula), of(KEY_TAGS).alias("_key"), of(SMILES_TAGS).alias("_smiles"))
+    marked = rows.join(formulas.select(formula).distinct().withColumn("_wanted", F.lit(True)), formula, "left")
+    hit = F.coalesce(F.col("_wanted"), F.lit(False)) & F.col("_valid") & F.col("_key").isNotNull() & F.col("_smiles").isNotNull()
+    return marked.agg(
+        F.count("*").alias("records_seen"), F.count_if(~F.col("_valid")).alias("invalid_records"), F.count_if(hit).alias("matched_records"),
+        F.count_distinct(F.when(hit, F.struct(F.col(formula), F.substring("_key", 1, 14)))).alias("unique_candidates"),
+    )
+
+
 PROPERTIES = "struct<PropertyTable:struct<Properties:array<struct<CID:bigint,MolecularFormula:string,InChIKey:string,SMILES:string,ConnectivitySMILES:string,CanonicalSMILES:string,IsomericSMILES:string>>>>"
 
 
