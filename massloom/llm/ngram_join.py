@@ -57,12 +57,13 @@ LINKED = (3, 4)
 HOT = 16
 #: Rounds of leaders among short sets before pairs of different classes are compared; a round without a link ends them.
 ROUNDS = 3
-#: Entries a mapper holds before it writes them out, and entries meant for a bucket.
-FLUSH = 1_000_000
+#: Entries a mapper holds before it writes them out (with what sorts them some 100 bytes each, in every worker of an executor),
+#: and entries meant for a bucket.
+FLUSH = 400_000
 BUCKET = 1_500_000
 CHUNK = 1000
 #: Bytes of text that a mapper looks at at once, or one text.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: What an expected one-shingle subset costs, in entries, and the points kept beyond need.
 COLLISION = 2.0
 SPARE = 0.12
@@ -346,8 +347,8 @@ def _reduce(table: pa.Table) -> pa.Table:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "x_text", 2 << 20):
-            for piece in pieces(part, "y_text", 2 << 20):
+        for part in pieces(batch, "x_text", PIECE):
+            for piece in pieces(part, "y_text", PIECE):
                 x, y = Sets(piece.column("x_text")), Sets(piece.column("y_text"))
                 ok = [bool(jaccard_links(len(np.intersect1d(x.set(i), y.set(i), assume_unique=True)), int(x.sizes[i]), int(y.sizes[i]))) for i in range(x.n)]
                 mask = pa.array(ok, pa.bool_())

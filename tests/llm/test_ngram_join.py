@@ -149,3 +149,24 @@ def test_histograms_never_refute_a_link():
                 linked.add((len(h[a]), len(h[b])))
                 assert differ <= j.may_differ(int(s.sizes[a]), int(s.sizes[b]))
     assert (j.HIST, j.FINE) in linked or (j.FINE, j.HIST) in linked
+
+
+def test_a_mapper_holds_little():
+    """Before, 116 MB of arrays here, in each of an executor's workers."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    from massloom.llm import ngram_join as join
+
+    r = random.Random(1)
+    words = [f"w{k}" for k in range(20_000)]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    try:
+        sent = sum(sum(len(x.as_py()) for x in b.column("entries") if x.is_valid) // 10 for b in join._emit(64)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent > 1_200_000 and peak < 90e6, (sent, peak)
