@@ -1,21 +1,21 @@
 """Fuzzy line deduplication by MinHash, exact verification and distributed union-find: one line of each class stays.
 
 Lines are compared by their character shingles: all runs of SHINGLE characters, of which a shorter line is one. Signatures
-take a sample of them by content, the line's first and those whose first three characters lie in FIRST, SECOND and THIRD:
-about a sixth of words, addresses and digits alike, so that a sample's similarity estimates that of all shingles whatever a line
-is made of, and all shingles of other scripts. They hash each shingle once and keep the least hash of each of BINS ranges (one-permutation MinHash; an
-empty range borrows the next one's). BANDS bands of ROWS hashes meet by equal hash. What meets and agrees in AGREE of the
-BINS hashes at least is a candidate (at similarity 0.8 a pair agrees in fewer with chance 0.0015). In a band's bucket each
-line is compared with one leader, the bucket's least or greatest line by its hash. Links make classes, and then all pairs of a
-bucket that lie in different classes are compared as well: outright in buckets of up to SMALL lines. Lines of larger
-buckets meet by an exact prefix filter over their rarest shingles, leaders of families first, then pairs of different
-classes. A pair is verified by the exact Jaccard similarity
-of all shingles, at least THRESHOLD; verified links make classes, of which the occurrence with the least (doc_id, line
-number) stays. Exact copies are one line from the start and need no link. A pair whose samples are at 0.8 meets with
-chance 0.97, at 0.9 with 0.998.
-
-All is DataFrame functions. Only hashes are shuffled; texts of candidate lines alone are fetched again, behind a Bloom
-filter of fixed size, which spares work where it is not full and changes no result.
+hash every shingle of every line and keep the least hash of each of BINS ranges (one-permutation MinHash; an empty range
+borrows the next one's). Lines are written four bytes a character for that, so that a shingle is found by its place, and
+shingles are rows of generated code that a grouped minimum folds in the task that made them. Hashes too great to be a
+range's least (chance exp(-SPARE)) are left out before the fold.
+
+BANDS bands of ROWS hashes meet by equal hash. In a band's bucket each line is compared with one leader, the bucket's least
+or greatest line by its hash, if both agree in AGREE of the BINS hashes at least (at similarity 0.8 a pair agrees in fewer
+with chance 0.0015). Links make classes, and then all pairs of a bucket that lie in different classes are compared as well:
+outright, with the same demand, in buckets of up to SMALL lines. Lines of larger buckets meet by an exact prefix filter over
+their rarest shingles, leaders of families first, then pairs of different classes. A pair is verified by the exact Jaccard similarity of all shingles, at
+least THRESHOLD; verified links make classes, of which the occurrence with the least (doc_id, line number) stays. Exact
+copies are one line from the start and need no link. A pair of similarity 0.8 meets with chance 0.97, of 0.9 with 0.998.
+
+All is DataFrame functions. Only hashes are shuffled; texts of lines that share a bucket alone are fetched again, behind a
+Bloom filter of fixed size, which spares work where it is not full and changes no result.
 
 Edge cases: lines without a word stay and are not compared; null and empty texts have no line; documents with a null id
 lose nothing and take no part; rows that repeat an id are treated alike; all other columns pass through, working
@@ -24,8 +24,6 @@ columns are prefixed ld__; an empty table gives an empty result; very long texts
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +32,14 @@ from .common import connected_components, drop, let, scratch
 
 SHINGLE = 10
 #: Lines of a bucket up to which all its pairs in different classes are compared outright.
-SMALL = 32
+SMALL = 16
 #: Rounds of leaders in larger buckets before their lines of different classes are compared; one without links ends them.
 ROUNDS = 3
 SIMILAR = (4, 5)
 THRESHOLD = SIMILAR[0] / SIMILAR[1]
 BINS, BANDS, ROWS, AGREE = 16, 5, 3, 8
+#: Hashes of a line that each range has, on average, below the limit beyond which none is kept.
+SPARE = 10
 #: The first, second and third characters of a sample's shingles, as classes of regular expressions: about half of letters,
 #: weighed by their frequency or not, and of digits each; about a sixth of shingles of prose, addresses and numbers alike
 #: begin so, and no kind of text weighs more than another. Other scripts' characters are in all three.
@@ -51,35 +51,64 @@ LOW = (1 << 32) - 1
 PARTS = [f"g{i}" for i in range(BINS // 2)]
 
 
+def _wide(line: Column) -> Column:
+    """A line's characters, four bytes each."""
+    return F.encode(line, "UTF-32")
+
+
+def _last(wide: Column) -> Column:
+    """The place of a line's last shingle, from 0."""
+    return F.greatest(F.lit(0), F.call_function("shiftright", F.length(wide), F.lit(2)) - SHINGLE)
+
+
+def _shingle(wide: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(wide, place * 4 + 1, F.lit(4 * SHINGLE)))
+
+
 def shingles(line: Column) -> Column:
     """Hashes of the distinct shingles of a line, from every character on; a shorter line is one shingle."""
-    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))."), F.lit(1))
-    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
+    return let(_wide(line), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(w)), lambda i: _shingle(w, i))))
 
 
 def sample(line: Column) -> Column:
-    """The shingles that signatures hash, in order, repeats included: the line's first, and all that begin with characters of FIRST, SECOND and THIRD."""
+    """The shingles of a line, in order, repeats included, that are its first or begin with characters of FIRST, SECOND and THIRD. Signatures hash all."""
     # whether a place is one depends on three characters from it on, so an edit changes the sample only near it
     return F.regexp_extract_all(line, F.lit(f"(?s)(?:(?=[{FIRST}][{SECOND}][{THIRD}])|^)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\\z))."), F.lit(1))
 
 
-def signature(line: Column) -> Column:
-    """A line's least hashes of all ranges, 32 bits of each, two in a long: an array of BINS / 2 longs."""
-    shift = 64 - (BINS - 1).bit_length()
-    place = lambda x: F.call_function("shiftright", x, F.lit(shift))  # noqa: E731  the range that a hash is in, from -BINS / 2
+def _limit(last: Column) -> Column:
+    """What a kept hash's place in its range lies below, of 2^32."""
+    return F.lit(SPARE * BINS << 32) / F.greatest(last, F.lit(1))
+
+
+def _range(x: Column) -> Column:
+    """The range that a hash is in, from -BINS / 2."""
+    return F.call_function("shiftright", x, F.lit(64 - (BINS - 1).bit_length()))
+
 
-    def of_sorted(s: Column) -> Column:
-        # the least hash of each range that has one, in order; then, for each range, the first in it or above
-        firsts = F.filter(s, lambda x, i: (i == 0) | (place(x) != place(F.get(s, i - 1))))
-        return let(firsts, lambda f: let(F.when(F.size(f) == BINS, f).otherwise(filled(f)), of_bins))
+def _packed(least: list[Column]) -> list[Column]:
+    """The least hashes of all ranges, null if there is none, as BINS / 2 longs."""
+    full = [F.coalesce(*least[k:], *least[:k]) for k in range(BINS)]
+    return [full[k].bitwiseOR(F.call_function("shiftleft", full[k + 1], F.lit(32))) for k in range(0, BINS, 2)]
 
-    def filled(f: Column) -> Column:
-        return F.array(*[F.coalesce(F.get(F.filter(f, lambda x: place(x) >= b), 0), F.get(f, 0)) for b in map(F.lit, range(-BINS // 2, BINS // 2))])
 
-    def of_bins(m: Column) -> Column:
-        return F.array(*[F.get(m, k).bitwiseAND(F.lit(LOW)).bitwiseOR(F.call_function("shiftleft", F.get(m, k + 1), F.lit(32))) for k in range(0, BINS, 2)])
+def signature(line: Column) -> Column:
+    """A line's least hashes of all ranges, 32 bits of each, two in a long: an array of BINS / 2 longs."""
+    hashes = lambda w: F.filter(F.transform(F.sequence(F.lit(0), _last(w)), lambda i: _shingle(w, i)), lambda x: x.bitwiseAND(F.lit(LOW)) < _limit(_last(w)))
+    least = lambda s: [F.array_min(F.transform(F.filter(s, lambda x: _range(x) == k), lambda x: x.bitwiseAND(F.lit(LOW)))) for k in map(F.lit, range(-BINS // 2, BINS // 2))]
+    return let(let(let(_wide(line), hashes), lambda s: F.array(*least(s))), lambda m: F.array(*_packed([F.get(m, k) for k in range(BINS)])))
+
 
-    return let(F.sort_array(F.transform(sample(line), lambda x: F.xxhash64(x))), of_sorted)
+def signatures(rows: DataFrame) -> DataFrame:
+    """(h, h2, place, n, PARTS) of the distinct lines of rows: two hashes, least place, number of occurrences and signature()."""
+    lines = rows.select(*line_hashes(), _place(F.col("ld__no"), F.col("ld__id")).alias("place"), _wide(F.col("ld__line")).alias("w")).withColumn("last", _last(F.col("w")))
+    each = lines.select("h", "h2", "place", "w", _limit(F.col("last")).alias("limit"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    each = each.select("h", "h2", "place", "i", "limit", _shingle(F.col("w"), F.col("i")).alias("x"))
+    each = each.select("h", "h2", "place", "i", "limit", _range(F.col("x")).alias("r"), F.col("x").bitwiseAND(F.lit(LOW)).alias("v"))
+    # a line's first shingle counts it, whatever its hash
+    low = [F.min(F.when((F.col("r") == k) & (F.col("v") < F.col("limit")), F.col("v"))).alias(f"m{k + BINS // 2}") for k in range(-BINS // 2, BINS // 2)]
+    found = each.where("i = 0 or v < limit").groupBy("h", "h2").agg(F.min(F.when(F.col("i") == 0, F.col("place"))).alias("place"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), *low)
+    return found.select("h", "h2", "place", "n", *[p.alias(g) for g, p in zip(PARTS, _packed([F.col(f"m{k}") for k in range(BINS)]))])
 
 
 def bands(parts: list[Column]) -> Column:
@@ -105,6 +134,10 @@ def lines_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.where(F.col("ld__line").rlike("[^\\x20\\x09-\\x0D]"))
 
 
+def line_hashes() -> list[Column]:
+    return [F.xxhash64("ld__line").alias("h"), F.xxhash64(F.lit(7), "ld__line").alias("h2")]
+
+
 def _place(no: Column, of: Column) -> Column:
     """(id, line number) as one ordered number, so that a grouped minimum stays a plain hash aggregate."""
     return of.cast("decimal(20,0)") * F.lit(LINE_LIMIT).cast("decimal(11,0)") + no.cast("decimal(10,0)")
@@ -113,22 +146,16 @@ def _place(no: Column, of: Column) -> Column:
 def fates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(ld__id, ld__gone): the numbers of the lines that go, of each document that loses any."""
     rows = lines_of(docs, id_column, text_column)
-    hashes = rows.select("ld__id", "ld__no", F.xxhash64("ld__line").alias("h"), F.xxhash64(F.lit(7), "ld__line").alias("h2"), signature(F.col("ld__line")).alias("g"))
-    table = scratch(hashes.select("ld__id", "ld__no", "h", "h2", *[F.get("g", i).alias(g) for i, g in enumerate(PARTS)]), "ldlines")
-    unique = table.groupBy("h", "h2").agg(F.min(_place(F.col("ld__no"), F.col("ld__id"))).alias("place"), F.count("*").alias("n"), *[F.first(g).alias(g) for g in PARTS])
-    unique = scratch(unique, "ldunique")
-    keys = unique.select("h", F.explode(bands([F.col(g) for g in PARTS])).alias("key"))
-    leads = keys.groupBy("key").agg(F.min("h").alias("l0"), F.max("h").alias("l1"))
-    leads = scratch(leads.where("l0 <> l1").select("key", F.when(F.col("key") % 2 == 0, F.col("l0")).otherwise(F.col("l1")).alias("lead")), "ldleads")
+    unique = scratch(signatures(rows), "ldunique")
+    # dealt by key once, for the leaders and for their buckets' lines
+    keys = unique.select("h", F.explode(bands([F.col(g) for g in PARTS])).alias("key")).repartition("key")
+    leads = keys.groupBy("key").agg(F.min("h").alias("l0"), F.max("h").alias("l1")).where("l0 <> l1").select("key", F.when(F.col("key") % 2 == 0, F.col("l0")).otherwise(F.col("l1")).alias("lead"))
     members = scratch(keys.join(leads, "key").select("key", "h", "lead"), "ldmembers")
-    met = scratch(unique.join(members.select("h").distinct(), "h", "left_semi"), "ldmet")
-    pairs = members.where("h <> lead").select(F.least("h", "lead").alias("x"), F.greatest("h", "lead").alias("y"))
-    pairs = scratch(_alike(pairs.distinct(), met), "ldpairs")
-    texts = _texts(_ends(pairs).distinct(), met, rows)
-    links = _verified(pairs, texts, "line", shingles)
-    drop(leads, texts)
+    met = _texts(unique.join(members.select("h").distinct(), "h", "left_semi"), rows)
+    pairs = scratch(members.where("h <> lead").select(F.least("h", "lead").alias("x"), F.greatest("h", "lead").alias("y")).distinct(), "ldpairs")
+    links = _verified(pairs, met)
     found = connected_components(links, "ldcc")
-    rest = _rest(members, found, pairs, met, rows)
+    rest = _rest(members, found, pairs, met)
     if not rest.isEmpty():
         found = connected_components(found.toDF("a", "b").unionByName(rest), "ldcc")
     # the least place of each class, and what is not at it
@@ -137,57 +164,43 @@ def fates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     best = fuzzy.groupBy("class").agg(F.min("place").alias("best"))
     lost = named.join(best, "class", "left").select("h", "h2", F.coalesce("best", "place").alias("best"), "n", "place").where("n > 1 or best <> place").select("h", "h2", "best")
     lost = scratch(lost, "ldlost")
-    gone = table.select("ld__id", "ld__no", "h", "h2").join(lost, ["h", "h2"]).where(_place(F.col("ld__no"), F.col("ld__id")) != F.col("best"))
+    each = _marked(rows.select("ld__id", "ld__no", *line_hashes()), lost)
+    gone = each.join(lost, ["h", "h2"]).where(_place(F.col("ld__no"), F.col("ld__id")) != F.col("best"))
     out = scratch(gone.groupBy("ld__id").agg(F.array_sort(F.collect_set("ld__no")).alias("ld__gone")), "ldgone")
-    drop(table, unique, members, met, pairs, links, rest, lost)
+    drop(unique, members, met, pairs, links, lost)
     return out
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """(h) of the pairs (x, y), repeats included."""
-    return pairs.select(F.col("x").alias("h")).unionByName(pairs.select(F.col("y").alias("h")))
-
-
-def _alike(pairs: DataFrame, met: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose signatures agree in AGREE ranges at least."""
-    side = lambda k: met.select(F.col("h").alias(k), *[F.col(g).alias(f"{k}{g}") for g in PARTS])
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    return both.where(agreement([F.col(f"x{g}") for g in PARTS], [F.col(f"y{g}") for g in PARTS]) >= AGREE).select("x", "y").distinct()
-
-
-def _rest(members: DataFrame, found: DataFrame, tested: DataFrame, met: DataFrame, rows: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, found: DataFrame, tested: DataFrame, met: DataFrame) -> DataFrame:
     """The links (a, b) that all pairs of a bucket's lines in different classes give after the leaders' links."""
-    classed = members.join(found.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("class"))
+    classed = members.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("component", "h"))
     split = classed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("n > 2 and c0 <> c1").select("key", "n")
-    classed = scratch(classed.join(split, "key"), "ldsplit")
+    classed = scratch(classed.join(split, "key").select("key", "h", "class", "n"), "ldsplit")
     side = lambda h: classed.where(F.col("n") <= SMALL).select("key", F.col("h").alias(h), F.col("class").alias(f"{h}c"))
     small = side("x").join(side("y"), "key").where("x < y and xc <> yc").select("x", "y").distinct()
-    small = scratch(_alike(small.join(tested, ["x", "y"], "left_anti"), met), "ldrest")
+    small = scratch(small.join(tested, ["x", "y"], "left_anti"), "ldrest")
+    out = _verified(small, met)
     large = classed.where(F.col("n") > SMALL).select("h", "class").distinct()
-    # these lines meet many others each, so that sets are found once a line; leaders' lines meet few, and texts travel lighter
-    texts = _texts(_ends(small).unionByName(large.select("h")).distinct(), met, rows)
-    sets = scratch(texts.select("h", shingles(F.col("line")).alias("set")), "ldsets")
-    drop(texts)
-    out = _verified(small, sets, "set")
     if not large.isEmpty():
-        out = out.unionByName(_large(large, sets))
-    drop(classed, small, sets)
+        out = out.unionByName(_large(large, tested.unionByName(small), met))
+    drop(classed, small)
     return out
 
 
-def _large(lines: DataFrame, sets: DataFrame) -> DataFrame:
+def _large(lines: DataFrame, tested: DataFrame, met: DataFrame) -> DataFrame:
     """The links (a, b) of lines of large buckets (h, class): by leaders of their rarest shingles, so that families of
     near copies become one class, and then by all pairs of lines still in different classes that can link."""
-    own = sets.join(lines.select("h"), "h", "left_semi")
-    fronts = prefixes.front(own.select(F.col("h").alias("rep"), F.size("set").alias("n"), F.explode("set").alias("s")), ["rep"], *SIMILAR, "ldfront")
+    # these lines meet many others each, so that sets are found once a line; leaders' lines meet few, and texts travel lighter
+    sets = scratch(met.join(lines.select("h"), "h", "left_semi").select("h", shingles(F.col("line")).alias("set")), "ldsets")
+    fronts = prefixes.front(sets.select(F.col("h").alias("rep"), F.size("set").alias("n"), F.explode("set").alias("s")), ["rep"], *SIMILAR, "ldfront")
     found = scratch(lines.select(F.col("h").alias("node"), F.col("class").alias("component")), "ldclasses")
-    out = tested = None
+    out = None
     r, leading = 0, True
     while True:
         pairs = prefixes.led(fronts, found, r, *SIMILAR) if leading else prefixes.crossed(fronts, found, *SIMILAR, "ldmixed")
-        pairs = scratch(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), "ldpairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = _verified(pairs, sets, "set")
+        pairs = scratch(pairs.join(tested, ["x", "y"], "left_anti"), "ldpairs")
+        tested = tested.unionByName(pairs)
+        links = _verified(pairs, sets, "set", lambda c: c)
         out = links if out is None else out.unionByName(links)
         if not leading:
             break
@@ -197,31 +210,37 @@ def _large(lines: DataFrame, sets: DataFrame) -> DataFrame:
             edges = links.join(found.toDF("a", "ac"), "a").join(found.toDF("b", "bc"), "b").select(F.col("ac").alias("a"), F.col("bc").alias("b"))
             joined = connected_components(edges, "ldcc").toDF("component", "to")
             found = scratch(found.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "ldclasses")
-    drop(fronts)
+    drop(fronts, sets)
     return out
 
 
-def _texts(used: DataFrame, met: DataFrame, rows: DataFrame) -> DataFrame:
-    """(h, line) of the lines with the hashes used (h)."""
-    used = scratch(used, "ldused")
+def _marked(lines: DataFrame, used: DataFrame) -> DataFrame:
+    """The lines with hashes (h) that those used may have, by a Bloom filter that is a table of FILTER_BITS / 64 rows at most."""
     mark = lambda h: F.pmod(h, F.lit(FILTER_BITS)).cast("int")
-    marks = used.select(mark(F.col("h")).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("i"))
-    words = [0] * (FILTER_BITS // 64)
-    for r in marks.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 64)).alias("w")).toLocalIterator():  # FILTER_BITS / 64 rows at most
-        words[r["i"]] = r["w"]
-    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
-    held = F.call_function("shiftrightunsigned", F.get(table, (mark(F.col("h")) / 64).cast("int")), mark(F.col("h")) % 64).bitwiseAND(F.lit(1)) == 1
-    wanted = met.join(used, "h", "left_semi").groupBy("h").agg(F.min("place").alias("place"))
-    near = rows.withColumn("h", F.xxhash64("ld__line")).where(held).select(_place(F.col("ld__no"), F.col("ld__id")).alias("place"), "ld__line")
-    out = scratch(near.join(wanted, "place").select("h", F.col("ld__line").alias("line")).dropDuplicates(["h"]), "ldtexts")
+    word = lambda p: F.call_function("shiftright", p, F.lit(6)).alias("ld__i")
+    words = used.select(mark(F.col("h")).alias("p")).groupBy(word(F.col("p"))).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 64)).alias("ld__w"))
+    held = F.call_function("shiftrightunsigned", F.col("ld__w"), mark(F.col("h")) % 64).bitwiseAND(F.lit(1)) == 1
+    return lines.withColumn("ld__i", word(mark(F.col("h")))).join(F.broadcast(words), "ld__i").where(held).drop("ld__i", "ld__w")
+
+
+def _texts(used: DataFrame, rows: DataFrame) -> DataFrame:
+    """(h, PARTS, line) of the lines used (h, place, PARTS)."""
+    used = scratch(used.select("h", "place", *PARTS).dropDuplicates(["h"]), "ldused")
+    near = _marked(rows.select("ld__id", "ld__no", "ld__line", F.xxhash64("ld__line").alias("h")), used)
+    near = near.select(_place(F.col("ld__no"), F.col("ld__id")).alias("place"), F.col("ld__line").alias("line"))
+    out = scratch(near.join(used, "place").select("h", *PARTS, "line").dropDuplicates(["h"]), "ldtexts")
     drop(used)
     return out
 
 
-def _verified(pairs: DataFrame, held: DataFrame, column: str, as_set=lambda c: c) -> DataFrame:
-    """The pairs (x, y) of line hashes whose lines have Jaccard similarity THRESHOLD or more, as (a, b); as_set makes sets of held's column."""
-    side = lambda k: held.select(F.col("h").alias(k), F.col(column).alias(f"{k}v"))
+def _verified(pairs: DataFrame, held: DataFrame, column: str = "line", as_set=shingles) -> DataFrame:
+    """The pairs (x, y) of line hashes whose lines have Jaccard similarity THRESHOLD or more, as (a, b); as_set makes sets of
+    held's column. Of lines with signatures, those that agree in AGREE ranges at least."""
+    parts = [g for g in PARTS if g in held.columns]
+    side = lambda k: held.select(F.col("h").alias(k), *[F.col(g).alias(f"{k}{g}") for g in parts], F.col(column).alias(f"{k}v"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
+    if parts:
+        both = both.where(agreement([F.col(f"x{g}") for g in parts], [F.col(f"y{g}") for g in parts]) >= AGREE)
     return scratch(both.where(jaccard(as_set(F.col("xv")), as_set(F.col("yv"))) >= THRESHOLD).select(F.col("x").alias("a"), F.col("y").alias("b")), "ldlinks")
 
 

@@ -141,3 +141,24 @@ def test_near_copies_meet_in_buckets_of_boilerplate(spark):
     assert max(len(every(lines[k][0]) & every(lines[j][0])) / len(every(lines[k][0]) | every(lines[j][0])) for k in range(60) for j in range(k)) < d.THRESHOLD
     got = {x.doc_id: x.text for x in d.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(got[k] for k in range(300)) and sum(bool(got[1000 + k]) for k in range(300)) <= 3
+
+
+def test_signatures_hash_every_shingle(spark):
+    """The least hash of each range is that of all shingles, in the expression and in the grouped form, for every script and length."""
+    lines = [prose(3, 40), "x" * 30, "short", "日本語のとても長い行" * 4 + "ちがう", "😀" * 5 + "".join(chr(0x1F600 + k) for k in range(40)), "\tone  two\x0b" * 3, " ".join(prose(k, 60) for k in range(8))]
+    df = spark.createDataFrame([(k, 0, x) for k, x in enumerate(lines)], "ld__id long, ld__no int, ld__line string")
+    low = (1 << 32) - 1
+
+    def plain(hashes, n):
+        ranges = [[x & low for x in hashes if x >> 60 == k and x & low < (d.SPARE * d.BINS << 32) / max(n - d.SHINGLE, 1)] for k in range(-8, 8)]
+        least = [min(r, default=None) for r in ranges]
+        return [next(x for x in least[k:] + least[:k] if x is not None) for k in range(16)]
+
+    rows = df.select("ld__id", "ld__line", d.shingles(d.F.col("ld__line")).alias("all"), d.signature(d.F.col("ld__line")).alias("g")).collect()
+    grouped = {r.place >> 31: r for r in d.signatures(df).selectExpr("cast(place as long) place", "n", *d.PARTS).collect()}
+    for r in rows:
+        x = r.ld__line
+        assert len(r.all) == len({x[i : i + d.SHINGLE] for i in range(max(1, len(x) - d.SHINGLE + 1))})
+        halves = [h for p in r.g for h in (p & low, p >> 32 & low)]
+        assert halves == plain(r.all, len(x)), x
+        assert [grouped[r.ld__id][g] for g in d.PARTS] == list(r.g) and grouped[r.ld__id].n == 1
