@@ -65,9 +65,14 @@ def _shingle(wide: Column, place: Column) -> Column:
     return F.xxhash64(F.substring(wide, place * 4 + 1, F.lit(4 * SHINGLE)))
 
 
+def shingles_in_order(line: Column) -> Column:
+    """Hashes of the shingles of a line, from every character on, repeats included; a shorter line is one shingle."""
+    return let(_wide(line), lambda w: F.transform(F.sequence(F.lit(1), _last(w) * 4 + 1, F.lit(4)), lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE)))))
+
+
 def shingles(line: Column) -> Column:
-    """Hashes of the distinct shingles of a line, from every character on; a shorter line is one shingle."""
-    return let(_wide(line), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(w)), lambda i: _shingle(w, i))))
+    """Hashes of the distinct shingles of a line."""
+    return F.array_distinct(shingles_in_order(line))
 
 
 def sample(line: Column) -> Column:
@@ -99,16 +104,20 @@ def signature(line: Column) -> Column:
     return let(let(let(_wide(line), hashes), lambda s: F.array(*least(s))), lambda m: F.array(*_packed([F.get(m, k) for k in range(BINS)])))
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """(h, h2, place, n, PARTS) of the distinct lines of rows: two hashes, least place, number of occurrences and signature()."""
-    lines = rows.select(*line_hashes(), _place(F.col("ld__no"), F.col("ld__id")).alias("place"), _wide(F.col("ld__line")).alias("w")).withColumn("last", _last(F.col("w")))
-    each = lines.select("h", "h2", "place", "w", _limit(F.col("last")).alias("limit"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    each = each.select("h", "h2", "place", "i", "limit", _shingle(F.col("w"), F.col("i")).alias("x"))
-    each = each.select("h", "h2", "place", "i", "limit", _range(F.col("x")).alias("r"), F.col("x").bitwiseAND(F.lit(LOW)).alias("v"))
-    # a line's first shingle counts it, whatever its hash
+def signatures(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(h, h2, place, n, PARTS) of the distinct lines of rows: two hashes, least place, number of occurrences and signature().
+
+    lines: hashed(rows), where it stands in a table already."""
+    wide = rows.select(*line_hashes(), _wide(F.col("ld__line")).alias("w")).withColumn("last", _last(F.col("w")))
+    each = wide.select("h", "h2", "w", _limit(F.col("last")).alias("limit"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    each = each.select("h", "h2", "i", "limit", _shingle(F.col("w"), F.col("i")).alias("x"))
+    each = each.select("h", "h2", "i", "limit", _range(F.col("x")).alias("r"), F.col("x").bitwiseAND(F.lit(LOW)).alias("v"))
+    # a line's first shingle keeps it, whatever its hash
     low = [F.min(F.when((F.col("r") == k) & (F.col("v") < F.col("limit")), F.col("v"))).alias(f"m{k + BINS // 2}") for k in range(-BINS // 2, BINS // 2)]
-    found = each.where("i = 0 or v < limit").groupBy("h", "h2").agg(F.min(F.when(F.col("i") == 0, F.col("place"))).alias("place"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), *low)
-    return found.select("h", "h2", "place", "n", *[p.alias(g) for g, p in zip(PARTS, _packed([F.col(f"m{k}") for k in range(BINS)]))])
+    found = each.where("i = 0 or v < limit").groupBy("h", "h2").agg(*low)
+    # places are folded apart, once a line: a decimal in the fold above would be read and written for each shingle
+    places = (hashed(rows) if lines is None else lines).groupBy("h", "h2").agg(F.min(_place(F.col("ld__no"), F.col("ld__id"))).alias("place"), F.count("*").alias("n"))
+    return found.join(places, ["h", "h2"]).select("h", "h2", "place", "n", *[p.alias(g) for g, p in zip(PARTS, _packed([F.col(f"m{k}") for k in range(BINS)]))])
 
 
 def bands(parts: list[Column]) -> Column:
@@ -125,7 +134,8 @@ def agreement(a: list[Column], b: list[Column]) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n / (F.size(s["a"]) + F.size(s["b"]) - n)))
+    """Of two arrays, repeats not counted."""
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
 def lines_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -138,6 +148,11 @@ def line_hashes() -> list[Column]:
     return [F.xxhash64("ld__line").alias("h"), F.xxhash64(F.lit(7), "ld__line").alias("h2")]
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    """(h, h2, ld__id, ld__no) of lines_of()."""
+    return rows.select(*line_hashes(), "ld__id", "ld__no")
+
+
 def _place(no: Column, of: Column) -> Column:
     """(id, line number) as one ordered number, so that a grouped minimum stays a plain hash aggregate."""
     return of.cast("decimal(20,0)") * F.lit(LINE_LIMIT).cast("decimal(11,0)") + no.cast("decimal(10,0)")
@@ -146,12 +161,14 @@ def _place(no: Column, of: Column) -> Column:
 def fates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(ld__id, ld__gone): the numbers of the lines that go, of each document that loses any."""
     rows = lines_of(docs, id_column, text_column)
-    unique = scratch(signatures(rows), "ldunique")
+    lines = scratch(hashed(rows), "ldlines")
+    unique = scratch(signatures(rows, lines), "ldunique")
     # dealt by key once, for the leaders and for their buckets' lines
     keys = unique.select("h", F.explode(bands([F.col(g) for g in PARTS])).alias("key")).repartition("key")
     leads = keys.groupBy("key").agg(F.min("h").alias("l0"), F.max("h").alias("l1")).where("l0 <> l1").select("key", F.when(F.col("key") % 2 == 0, F.col("l0")).otherwise(F.col("l1")).alias("lead"))
-    members = scratch(keys.join(leads, "key").select("key", "h", "lead"), "ldmembers")
-    met = _texts(unique.join(members.select("h").distinct(), "h", "left_semi"), rows)
+    members = scratch(keys.join(leads.hint("shuffle_hash"), "key").select("key", "h", "lead"), "ldmembers")
+    near = members.select("h").distinct()
+    met = _texts(_marked(unique, near).join(near, "h", "left_semi"), rows)
     pairs = scratch(members.where("h <> lead").select(F.least("h", "lead").alias("x"), F.greatest("h", "lead").alias("y")).distinct(), "ldpairs")
     links = _verified(pairs, met)
     found = connected_components(links, "ldcc")
@@ -159,15 +176,14 @@ def fates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     if not rest.isEmpty():
         found = connected_components(found.toDF("a", "b").unionByName(rest), "ldcc")
     # the least place of each class, and what is not at it
-    named = unique.select("h", "h2", "place", "n").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("component", "h"))
+    named = _marked(unique.select("h", "h2", "place", "n"), found.select(F.col("node").alias("h")), F.col("n") > 1).join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("component", "h"))
     fuzzy = named.where("component is not null")
     best = fuzzy.groupBy("class").agg(F.min("place").alias("best"))
     lost = named.join(best, "class", "left").select("h", "h2", F.coalesce("best", "place").alias("best"), "n", "place").where("n > 1 or best <> place").select("h", "h2", "best")
     lost = scratch(lost, "ldlost")
-    each = _marked(rows.select("ld__id", "ld__no", *line_hashes()), lost)
-    gone = each.join(lost, ["h", "h2"]).where(_place(F.col("ld__no"), F.col("ld__id")) != F.col("best"))
+    gone = _marked(lines, lost).join(lost, ["h", "h2"]).where(_place(F.col("ld__no"), F.col("ld__id")) != F.col("best"))
     out = scratch(gone.groupBy("ld__id").agg(F.array_sort(F.collect_set("ld__no")).alias("ld__gone")), "ldgone")
-    drop(unique, members, met, pairs, links, lost)
+    drop(lines, unique, members, met, pairs, links, lost)
     return out
 
 
@@ -214,13 +230,14 @@ def _large(lines: DataFrame, tested: DataFrame, met: DataFrame) -> DataFrame:
     return out
 
 
-def _marked(lines: DataFrame, used: DataFrame) -> DataFrame:
-    """The lines with hashes (h) that those used may have, by a Bloom filter that is a table of FILTER_BITS / 64 rows at most."""
+def _marked(lines: DataFrame, used: DataFrame, also: Column | None = None) -> DataFrame:
+    """The lines with hashes (h) that those used may have, or for which also holds, by a Bloom filter that is a table of FILTER_BITS / 64 rows at most."""
     mark = lambda h: F.pmod(h, F.lit(FILTER_BITS)).cast("int")
     word = lambda p: F.call_function("shiftright", p, F.lit(6)).alias("ld__i")
     words = used.select(mark(F.col("h")).alias("p")).groupBy(word(F.col("p"))).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 64)).alias("ld__w"))
     held = F.call_function("shiftrightunsigned", F.col("ld__w"), mark(F.col("h")) % 64).bitwiseAND(F.lit(1)) == 1
-    return lines.withColumn("ld__i", word(mark(F.col("h")))).join(F.broadcast(words), "ld__i").where(held).drop("ld__i", "ld__w")
+    met = lines.withColumn("ld__i", word(mark(F.col("h")))).join(F.broadcast(words), "ld__i", "inner" if also is None else "left")
+    return met.where(held if also is None else also | held).drop("ld__i", "ld__w")
 
 
 def _texts(used: DataFrame, rows: DataFrame) -> DataFrame:
@@ -233,15 +250,22 @@ def _texts(used: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
-def _verified(pairs: DataFrame, held: DataFrame, column: str = "line", as_set=shingles) -> DataFrame:
+def _verified(pairs: DataFrame, held: DataFrame, column: str = "line", as_set=shingles_in_order) -> DataFrame:
     """The pairs (x, y) of line hashes whose lines have Jaccard similarity THRESHOLD or more, as (a, b); as_set makes sets of
     held's column. Of lines with signatures, those that agree in AGREE ranges at least."""
     parts = [g for g in PARTS if g in held.columns]
-    side = lambda k: held.select(F.col("h").alias(k), *[F.col(g).alias(f"{k}{g}") for g in parts], F.col(column).alias(f"{k}v"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
     if parts:
-        both = both.where(agreement([F.col(f"x{g}") for g in parts], [F.col(f"y{g}") for g in parts]) >= AGREE)
-    return scratch(both.where(jaccard(as_set(F.col("xv")), as_set(F.col("yv"))) >= THRESHOLD).select(F.col("x").alias("a"), F.col("y").alias("b")), "ldlinks")
+        # signatures meet first, so that texts are fetched for pairs that agree alone
+        sign = lambda k: held.select(F.col("h").alias(k), *[F.col(g).alias(f"{k}{g}") for g in parts])
+        signed = pairs.join(sign("x"), "x").join(sign("y"), "y")
+        pairs = signed.where(agreement([F.col(f"x{g}") for g in parts], [F.col(f"y{g}") for g in parts]) >= AGREE).select("x", "y")
+    side = lambda k: held.select(F.col("h").alias(k), F.col(column).alias(f"{k}v"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", as_set(F.col("xv")).alias("xs"), as_set(F.col("yv")).alias("ys"))
+    # written with their similarity and read back above it: a filter here would find the sets once for each mention
+    tested = scratch(both.select(F.col("x").alias("a"), F.col("y").alias("b"), jaccard(F.col("xs"), F.col("ys")).alias("same")), "ldlinks")
+    out = tested.where(F.col("same") >= THRESHOLD).select("a", "b")
+    out._scratch_path = tested._scratch_path
+    return out
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
