@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import prefixes
-from .common import connected_components, drop, let, scratch
+from .common import WORD_SPACE, connected_components, drop, let, scratch
 
 SHINGLE = 10
 #: Lines of a bucket up to which all its pairs in different classes are compared outright.
@@ -108,8 +108,8 @@ def signatures(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(h, h2, place, n, PARTS) of the distinct lines of rows: two hashes, least place, number of occurrences and signature().
 
     lines: hashed(rows), where it stands in a table already."""
-    wide = rows.select(*line_hashes(), _wide(F.col("ld__line")).alias("w")).withColumn("last", _last(F.col("w")))
-    each = wide.select("h", "h2", "w", _limit(F.col("last")).alias("limit"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    wide = rows.select(*line_hashes(), _wide(F.col("ld__line")).alias("w")).withColumn("last", _last(F.col("w"))).withColumn("limit", F.ceil(_limit(F.col("last"))))
+    each = wide.select("h", "h2", "w", "limit", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     each = each.select("h", "h2", "i", "limit", _shingle(F.col("w"), F.col("i")).alias("x"))
     each = each.select("h", "h2", "i", "limit", _range(F.col("x")).alias("r"), F.col("x").bitwiseAND(F.lit(LOW)).alias("v"))
     # a line's first shingle keeps it, whatever its hash
@@ -117,7 +117,7 @@ def signatures(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     found = each.where("i = 0 or v < limit").groupBy("h", "h2").agg(*low)
     # places are folded apart, once a line: a decimal in the fold above would be read and written for each shingle
     places = (hashed(rows) if lines is None else lines).groupBy("h", "h2").agg(F.min(_place(F.col("ld__no"), F.col("ld__id"))).alias("place"), F.count("*").alias("n"))
-    return found.join(places, ["h", "h2"]).select("h", "h2", "place", "n", *[p.alias(g) for g, p in zip(PARTS, _packed([F.col(f"m{k}") for k in range(BINS)]))])
+    return found.join(places.hint("shuffle_hash"), ["h", "h2"]).select("h", "h2", "place", "n", *[p.alias(g) for g, p in zip(PARTS, _packed([F.col(f"m{k}") for k in range(BINS)]))])
 
 
 def bands(parts: list[Column]) -> Column:
@@ -141,7 +141,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def lines_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(ld__id, ld__no, ld__line) of the lines with a word."""
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("ld__id"), F.posexplode(F.split(text_column, "\n")).alias("ld__no", "ld__line"))
-    return rows.where(F.col("ld__line").rlike("[^\\x20\\x09-\\x0D]"))
+    return rows.where(F.ltrim("ld__line", F.lit(WORD_SPACE)) != "")
 
 
 def line_hashes() -> list[Column]:
@@ -168,7 +168,7 @@ def fates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     leads = keys.groupBy("key").agg(F.min("h").alias("l0"), F.max("h").alias("l1")).where("l0 <> l1").select("key", F.when(F.col("key") % 2 == 0, F.col("l0")).otherwise(F.col("l1")).alias("lead"))
     members = scratch(keys.join(leads.hint("shuffle_hash"), "key").select("key", "h", "lead"), "ldmembers")
     near = members.select("h").distinct()
-    met = _texts(_marked(unique, near).join(near, "h", "left_semi"), rows)
+    met = _texts(_marked(unique, near).join(near, "h"), rows)
     pairs = scratch(members.where("h <> lead").select(F.least("h", "lead").alias("x"), F.greatest("h", "lead").alias("y")).distinct(), "ldpairs")
     links = _verified(pairs, met)
     found = connected_components(links, "ldcc")
@@ -254,13 +254,12 @@ def _verified(pairs: DataFrame, held: DataFrame, column: str = "line", as_set=sh
     """The pairs (x, y) of line hashes whose lines have Jaccard similarity THRESHOLD or more, as (a, b); as_set makes sets of
     held's column. Of lines with signatures, those that agree in AGREE ranges at least."""
     parts = [g for g in PARTS if g in held.columns]
+    # hash joins, so that no texts are sorted
+    side = lambda k: held.select(F.col("h").alias(k), *[F.col(g).alias(f"{k}{g}") for g in parts], F.col(column).alias(f"{k}v")).hint("shuffle_hash")
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     if parts:
-        # signatures meet first, so that texts are fetched for pairs that agree alone
-        sign = lambda k: held.select(F.col("h").alias(k), *[F.col(g).alias(f"{k}{g}") for g in parts])
-        signed = pairs.join(sign("x"), "x").join(sign("y"), "y")
-        pairs = signed.where(agreement([F.col(f"x{g}") for g in parts], [F.col(f"y{g}") for g in parts]) >= AGREE).select("x", "y")
-    side = lambda k: held.select(F.col("h").alias(k), F.col(column).alias(f"{k}v"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", as_set(F.col("xv")).alias("xs"), as_set(F.col("yv")).alias("ys"))
+        both = both.where(agreement([F.col(f"x{g}") for g in parts], [F.col(f"y{g}") for g in parts]) >= AGREE)
+    both = both.select("x", "y", as_set(F.col("xv")).alias("xs"), as_set(F.col("yv")).alias("ys"))
     # written with their similarity and read back above it: a filter here would find the sets once for each mention
     tested = scratch(both.select(F.col("x").alias("a"), F.col("y").alias("b"), jaccard(F.col("xs"), F.col("ys")).alias("same")), "ldlinks")
     out = tested.where(F.col("same") >= THRESHOLD).select("a", "b")
@@ -280,6 +279,6 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = fates(docs)
-    counts = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    counts = docs.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = counts.join(gone, counts["doc_id"] == gone["ld__id"], "left")
     return out.select("doc_id", "n_lines", F.when(F.col("ld__gone").isNull(), 0).otherwise(F.size("ld__gone")).cast("long").alias("n_removed"), F.coalesce(F.array_join("ld__gone", ","), F.lit("")).alias("removed"))
