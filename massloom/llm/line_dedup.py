@@ -110,11 +110,12 @@ def signatures(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     lines: hashed(rows), where it stands in a table already."""
     wide = rows.select(*line_hashes(), _wide(F.col("ld__line")).alias("w")).withColumn("last", _last(F.col("w"))).withColumn("limit", F.ceil(_limit(F.col("last"))))
     each = wide.select("h", "h2", "w", "limit", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    each = each.select("h", "h2", "i", "limit", _shingle(F.col("w"), F.col("i")).alias("x"))
-    each = each.select("h", "h2", "i", "limit", _range(F.col("x")).alias("r"), F.col("x").bitwiseAND(F.lit(LOW)).alias("v"))
+    # the task's number keeps the filter below from going ahead of the hash, which would then be found twice
+    each = each.select("h", "h2", "i", "limit", _shingle(F.col("w"), F.col("i")).alias("x"), F.spark_partition_id().alias("task"))
+    each = each.select("h", "h2", "i", "limit", "task", _range(F.col("x")).alias("r"), F.col("x").bitwiseAND(F.lit(LOW)).alias("v"))
     # a line's first shingle keeps it, whatever its hash
     low = [F.min(F.when((F.col("r") == k) & (F.col("v") < F.col("limit")), F.col("v"))).alias(f"m{k + BINS // 2}") for k in range(-BINS // 2, BINS // 2)]
-    found = each.where("i = 0 or v < limit").groupBy("h", "h2").agg(*low)
+    found = each.where("task >= 0 and (i = 0 or v < limit)").groupBy("h", "h2").agg(*low)
     # places are folded apart, once a line: a decimal in the fold above would be read and written for each shingle
     places = (hashed(rows) if lines is None else lines).groupBy("h", "h2").agg(F.min(_place(F.col("ld__no"), F.col("ld__id"))).alias("place"), F.count("*").alias("n"))
     return found.join(places.hint("shuffle_hash"), ["h", "h2"]).select("h", "h2", "place", "n", *[p.alias(g) for g, p in zip(PARTS, _packed([F.col(f"m{k}") for k in range(BINS)]))])
@@ -245,7 +246,7 @@ def _texts(used: DataFrame, rows: DataFrame) -> DataFrame:
     used = scratch(used.select("h", "place", *PARTS).dropDuplicates(["h"]), "ldused")
     near = _marked(rows.select("ld__id", "ld__no", "ld__line", F.xxhash64("ld__line").alias("h")), used)
     near = near.select(_place(F.col("ld__no"), F.col("ld__id")).alias("place"), F.col("ld__line").alias("line"))
-    out = scratch(near.join(used, "place").select("h", *PARTS, "line").dropDuplicates(["h"]), "ldtexts")
+    out = scratch(near.join(used.hint("shuffle_hash"), "place").select("h", *PARTS, "line").dropDuplicates(["h"]), "ldtexts")
     drop(used)
     return out
 

@@ -162,3 +162,18 @@ def test_signatures_hash_every_shingle(spark):
         halves = [h for p in r.g for h in (p & low, p >> 32 & low)]
         assert halves == plain(r.all, len(x)), x
         assert [grouped[r.ld__id][g] for g in d.PARTS] == list(r.g) and grouped[r.ld__id].n == 1
+
+
+def test_a_shingle_is_hashed_once_and_folded_without_decimals(spark):
+    df = spark.createDataFrame([(1, 0, "a line of some words")], "ld__id long, ld__no int, ld__line string")
+    plan = d.signatures(df)._jdf.queryExecution().optimizedPlan().toString()
+    folds = [x for x in plan.splitlines() if "Aggregate" in x]
+    assert plan.count("substring(") == 1 and len(folds) == 2 and "decimal" not in next(x for x in folds if "CASE WHEN" in x), plan
+
+
+def test_lines_of_blanks_stay(spark):
+    # other spaces than the contracts' are words
+    blank = [" ", "\t \x0b\x0c\r", "\xa0 \xa0", "\x1c\x1c"]
+    docs = [(1, "\n".join(blank)), (2, "\n".join(blank)), (3, None), (4, "")]
+    got = {x.ld__id: x.ld__gone for x in d.fates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {2: [2, 3]}
